@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, mpeg_audio
+from quern.llm import lexicon, mixing, mpeg_audio, token_store
+
+
+def tokenizer_path() -> str:
+    """The vocabulary that the queries use."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +36,23 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_store.write_shards(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
+    return token_store.read_documents(files).withColumnRenamed("key", "doc_id")
+
+
+def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = lexicon.Lexicon.of(docs, tokenizer_path())
+    rows = lexicon.decode(lexicon.encode(docs, words).drop("text"), words)
+    return rows.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -41,7 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mpeg_audio, op10_mixing)}
+    return {f.__name__: f for f in (op2_mpeg_audio, op4_token_store, op6_bpe_lexicon, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
