@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import lexicon, mixing, mpeg_audio, token_store
+from quern.llm import lexicon, line_dedup, mixing, mpeg_audio, token_store
 
 
 def tokenizer_path() -> str:
@@ -41,6 +41,28 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(files).withColumnRenamed("key", "doc_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256)
+    return rows.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
+
+
+LINE_SQL = r"""
+WITH cut AS (SELECT doc_id, row_number() OVER () AS row_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, row_id, unnest(parts) AS line, unnest(range(len(parts))) AS i FROM cut),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+repeated AS (
+  SELECT key, min(doc_id) AS first_doc FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) < max(doc_id)),
+marked AS (
+  SELECT k.*, coalesce(r.first_doc < k.doc_id, false) AS gone FROM keyed k LEFT JOIN repeated r ON k.key = r.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY row_id, doc_id
+"""
+
+
 def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = lexicon.Lexicon.of(docs, tokenizer_path())
@@ -65,8 +87,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mpeg_audio, op4_token_store, op6_bpe_lexicon, op10_mixing)}
+    return {f.__name__: f for f in (op2_mpeg_audio, op4_token_store, op5_line_dedup, op6_bpe_lexicon, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": LINE_SQL}
