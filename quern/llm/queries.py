@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import lexicon, line_dedup, mixing, mpeg_audio, token_store
+from quern.llm import lexicon, line_dedup, minhash, mixing, mpeg_audio, token_store
 
 
 def tokenizer_path() -> str:
@@ -36,6 +36,10 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_store.write_shards(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
     return token_store.read_documents(files).withColumnRenamed("key", "doc_id")
@@ -87,7 +91,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mpeg_audio, op4_token_store, op5_line_dedup, op6_bpe_lexicon, op10_mixing)}
+    return {f.__name__: f for f in (op2_mpeg_audio, op3_minhash, op4_token_store, op5_line_dedup, op6_bpe_lexicon, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
