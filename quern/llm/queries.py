@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import lexicon, line_dedup, minhash, mixing, mpeg_audio, token_store
+from quern.llm import embed_dedup, lexicon, line_dedup, minhash, mixing, mpeg_audio, token_store
 
 
 def tokenizer_path() -> str:
@@ -79,6 +79,28 @@ def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+VECTOR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, label, row_number() OVER () AS row_id FROM embeddings),
+good AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.row_id <> b.row_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT DISTINCT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+named AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, coalesce(n.component_id, v.vec_id) AS component_id,
+  coalesce(n.component_id, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN degrees d ON d.a = v.vec_id LEFT JOIN named n ON n.node = v.vec_id
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -91,8 +113,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mpeg_audio, op3_minhash, op4_token_store, op5_line_dedup, op6_bpe_lexicon, op10_mixing)}
+    return {f.__name__: f for f in (op2_mpeg_audio, op3_minhash, op4_token_store, op5_line_dedup, op6_bpe_lexicon, op8_pivot_index, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": LINE_SQL}
+    return {"op5_line_dedup": LINE_SQL, "op8_pivot_index": VECTOR_SQL}
