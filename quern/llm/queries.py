@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import embed_dedup, lexicon, line_dedup, minhash, mixing, mpeg_audio, token_store
+from quern.llm import embed_dedup, langid, lexicon, line_dedup, minhash, mixing, mpeg_audio, ordinal_quality, token_store
 
 
 def tokenizer_path() -> str:
@@ -79,6 +79,13 @@ def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    rows = langid.predict(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", langid.held_out().alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 def op8_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -101,6 +108,12 @@ FROM v LEFT JOIN degrees d ON d.a = v.vec_id LEFT JOIN named n ON n.node = v.vec
 """
 
 
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = ordinal_quality.score(docs, ordinal_quality.train(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", F.col("_grade").alias("grade"), F.col("_tail").alias("tail"), F.col("_keep").alias("kept"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -113,7 +126,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mpeg_audio, op3_minhash, op4_token_store, op5_line_dedup, op6_bpe_lexicon, op8_pivot_index, op10_mixing)}
+    return {f.__name__: f for f in (op2_mpeg_audio, op3_minhash, op4_token_store, op5_line_dedup, op6_bpe_lexicon, op7_langid, op8_pivot_index, op9_ordinal_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
