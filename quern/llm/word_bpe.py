@@ -198,6 +198,18 @@ class Merger:
         return np.array([x for x in ids if x >= 0], dtype=np.int64)
 
 
+class _Known(dict):
+    """Ids by word. An unknown word gets an empty place, listed in ``new``, that is filled once it is known."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: dict[bytes, bytearray] = {}
+
+    def __missing__(self, word: bytes) -> bytearray:
+        place = self[word] = self.new[word] = bytearray()
+        return place
+
+
 class Encoder:
     """Encodes texts by the white-space words in them, with bounded caches of words and of pieces.
 
@@ -206,22 +218,22 @@ class Encoder:
     special token is cut as a whole. Caches only save work: they are emptied when full.
     """
 
-    MOST_WORDS, MOST_PIECES = 700_000, 700_000
+    MOST_WORDS, MOST_PIECES = 1_000_000, 700_000
     #: Bytes of texts that are looked up together.
     CHUNK = 4 << 20
 
     def __init__(self, spec: dict, encode_pieces, dtype: str) -> None:
         self.split, self.encode_pieces, self.dtype = Splitter(special_tokens(spec)), encode_pieces, np.dtype(dtype)
-        self.words: dict[bytes, bytes] = {}
+        self.words = _Known()
         self.pieces: dict[bytes | str, bytes] = {}
 
     def _learn(self, cut: list[list]) -> None:
-        new = list({p for pieces in cut for p in pieces if not isinstance(p, int)}.difference(self.pieces))
+        every = {p for pieces in cut for p in pieces if not isinstance(p, int)}
+        new = list(every.difference(self.pieces))
         if len(self.pieces) + len(new) > self.MOST_PIECES:
-            self.pieces = {}
-            new = list({p for pieces in cut for p in pieces if not isinstance(p, int)})
+            self.pieces, new = {}, list(every)
         ids = self.encode_pieces([utf8(p) for p in new])
-        self.pieces.update(zip(new, [np.asarray(x).astype(self.dtype).tobytes() for x in ids], strict=True))
+        self.pieces.update(zip(new, [np.asarray(x, dtype=self.dtype).tobytes() for x in ids], strict=True))
 
     def _joined(self, pieces: list) -> bytes:
         if len(pieces) == 1 and not isinstance(pieces[0], int):
@@ -229,22 +241,24 @@ class Encoder:
         return b"".join([self.dtype.type(p).tobytes() if isinstance(p, int) else self.pieces[p] for p in pieces])
 
     def _chunk(self, texts: list[bytes]) -> list[bytes]:
-        whole = [b"<|" in t for t in texts]
-        words = [None if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
-        need: set[bytes] = set()
-        for x in words:
-            need.update(x or ())
-        if len(self.words) + len(need) > self.MOST_WORDS:
-            self.words = {}
-        new = list(need.difference(self.words))
+        if len(self.words) > self.MOST_WORDS:
+            self.words = _Known()
+        known, odd, parts = self.words, [], []
+        for t in texts:
+            if b"<|" in t:
+                odd.append(self.split(t.decode()))
+                parts.append(None)
+            else:
+                parts.append(list(map(known.__getitem__, t.lower().split())))
+        new, known.new = known.new, {}
         cut = [self.split.plain(w.decode()) for w in new]
-        odd = [self.split(t.decode()) for t, w in zip(texts, whole, strict=True) if w]
         self._learn(cut + odd)
-        known, joined = self.words, self._joined
-        for w, pieces in zip(new, cut, strict=True):
-            known[w] = joined(pieces)
-        get, rest = known.__getitem__, iter(odd)
-        return [joined(next(rest)) if x is None else b"".join(map(get, x)) for x in words]
+        joined = self._joined
+        for (w, place), pieces in zip(new.items(), cut, strict=True):
+            place += joined(pieces)
+            known[w] = bytes(place)
+        rest = iter(odd)
+        return [joined(next(rest)) if x is None else b"".join(x) for x in parts]
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text (null: none) in little-endian order."""
