@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import embed_dedup, langid, lexicon, line_dedup, minhash, mixing, mpeg_audio, ordinal_quality, token_store
+from quern.llm import embed_dedup, langid, lexicon, line_dedup, minhash, mixing, mpeg_audio, ordinal_quality, pii, token_store
 
 
 def tokenizer_path() -> str:
@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    joined = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    of = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("_base"), 256).alias("base_sha256"), joined("_spans").alias("spans"))
+
+
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = mpeg_audio.stage_media(table(spark, sf_dir, "documents"))
     found = mpeg_audio.features(media, payload=True)
@@ -126,7 +135,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mpeg_audio, op3_minhash, op4_token_store, op5_line_dedup, op6_bpe_lexicon, op7_langid, op8_pivot_index, op9_ordinal_quality, op10_mixing)}
+    return {f.__name__: f for f in (op1_pii, op2_mpeg_audio, op3_minhash, op4_token_store, op5_line_dedup, op6_bpe_lexicon, op7_langid, op8_pivot_index, op9_ordinal_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
