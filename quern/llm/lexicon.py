@@ -31,6 +31,8 @@ from quern.llm.common import as_bytes, bound_batches
 
 #: Words of the lexicon and their longest length in bytes: what is collected and broadcast is bounded by them.
 LEXICON_WORDS, LONGEST = 65_536, 48
+#: Words and pieces whose ids a worker keeps.
+MOST_WORDS, MOST_PIECES = 500_000, 400_000
 #: Counted words that a task keeps while it reads.
 COUNTERS = 100_000
 
@@ -197,7 +199,7 @@ class Lexicon:
                 return out
 
             _ENCODERS.clear()
-            _ENCODERS[self.key] = word_bpe.Encoder(spec, ids, "<u4")
+            _ENCODERS[self.key] = word_bpe.Encoder(spec, ids, "<u4", MOST_WORDS, MOST_PIECES)
         return _ENCODERS[self.key]
 
 
@@ -209,36 +211,48 @@ def encode(docs: DataFrame, lexicon: Lexicon, text_column: str = "text", ids_col
 
     Null and empty texts have no ids. All rows and columns stay; a column of that name is replaced.
     """
-    return _map(docs, lexicon, text_column, ids_column, "binary", lambda lex, col: lex.encoder()(as_bytes(col)))
+    return _map(docs, lexicon, text_column, {ids_column: "binary"}, lambda lex, col: [lex.encoder()(as_bytes(col))])
 
 
 def decode(rows: DataFrame, lexicon: Lexicon, ids_column: str = "ids", text_column: str = "decoded") -> DataFrame:
     """Adds ``text_column``: the strings of the ids joined as the tokenizer joins them. Null ids decode to ''."""
+    return _map(rows, lexicon, ids_column, {text_column: "string"}, lambda lex, col: [_decoded(lex, col.to_pylist())])
 
-    def run(lex: Lexicon, column: pa.Array) -> list[bytes]:
-        if _PIECES.get("key") != lex.key:
-            _PIECES.update(key=lex.key, pieces=word_bpe.pieces_by_id(word_bpe.load(lex.text)))
-        get = _PIECES["pieces"].__getitem__
-        return [b" ".join(map(get, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in column.to_pylist()]
 
-    return _map(rows, lexicon, ids_column, text_column, "string", run)
+def round_trip(docs: DataFrame, lexicon: Lexicon, text_column: str = "text", ids_column: str = "ids", decoded_column: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one Python pass: a task needs one worker, and so one set of caches, instead of two."""
+
+    def both(lex: Lexicon, column: pa.Array) -> list[list[bytes]]:
+        ids = lex.encoder()(as_bytes(column))
+        return [ids, _decoded(lex, ids)]
+
+    return _map(docs, lexicon, text_column, {ids_column: "binary", decoded_column: "string"}, both)
+
+
+def _decoded(lexicon: Lexicon, ids: list[bytes | None]) -> list[bytes]:
+    if _PIECES.get("key") != lexicon.key:
+        _PIECES.update(key=lexicon.key, pieces=word_bpe.pieces_by_id(word_bpe.load(lexicon.text)))
+    get = _PIECES["pieces"].__getitem__
+    return [b" ".join(map(get, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in ids]
 
 
 _PIECES: dict = {}
 
 
-def _map(rows: DataFrame, lexicon: Lexicon, source: str, target: str, kind: str, run) -> DataFrame:
+def _map(rows: DataFrame, lexicon: Lexicon, source: str, new: dict[str, str], run) -> DataFrame:
     spark = rows.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(lexicon)  # the tokenizer's file and the bounded automaton
-    kept = [c for c in rows.columns if c.lower() != target.lower()]
+    kept = [c for c in rows.columns if c.lower() not in {n.lower() for n in new}]
     rows = rows.select(*[F.col(f"`{c}`") for c in kept])
-    schema = StructType(list(rows.schema)).add(target, kind)
-    arrow = pa.binary() if kind == "binary" else pa.string()
+    schema = StructType(list(rows.schema))
+    for name, kind in new.items():
+        schema = schema.add(name, kind)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = pa.array(run(shared.value, batch.column(kept.index(source))), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, new.cast(arrow)], names=[*kept, target])
+            made = run(shared.value, batch.column(kept.index(source)))
+            columns = [pa.array(x, pa.binary()).cast(pa.binary() if kind == "binary" else pa.string()) for x, kind in zip(made, new.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*kept, *new])
 
     return rows.mapInArrow(each, schema)

@@ -79,7 +79,7 @@ FROM marked GROUP BY row_id, doc_id
 def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = lexicon.Lexicon.of(docs, tokenizer_path())
-    rows = lexicon.decode(lexicon.encode(docs, words).drop("text"), words)
+    rows = lexicon.round_trip(docs, words)
     return rows.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -222,7 +222,8 @@ class Encoder:
     #: Bytes of texts that are looked up together.
     CHUNK = 4 << 20
 
-    def __init__(self, spec: dict, encode_pieces, dtype: str) -> None:
+    def __init__(self, spec: dict, encode_pieces, dtype: str, most_words: int = MOST_WORDS, most_pieces: int = MOST_PIECES) -> None:
+        self.most_words, self.most_pieces = most_words, most_pieces
         self.split, self.encode_pieces, self.dtype = Splitter(special_tokens(spec)), encode_pieces, np.dtype(dtype)
         self.words = _Known()
         self.pieces: dict[bytes | str, bytes] = {}
@@ -230,7 +231,7 @@ class Encoder:
     def _learn(self, cut: list[list]) -> None:
         every = {p for pieces in cut for p in pieces if not isinstance(p, int)}
         new = list(every.difference(self.pieces))
-        if len(self.pieces) + len(new) > self.MOST_PIECES:
+        if len(self.pieces) + len(new) > self.most_pieces:
             self.pieces, new = {}, list(every)
         ids = self.encode_pieces([utf8(p) for p in new])
         self.pieces.update(zip(new, [np.asarray(x, dtype=self.dtype).tobytes() for x in ids], strict=True))
@@ -241,7 +242,7 @@ class Encoder:
         return b"".join([self.dtype.type(p).tobytes() if isinstance(p, int) else self.pieces[p] for p in pieces])
 
     def _chunk(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.words) > self.MOST_WORDS:
+        if len(self.words) > self.most_words:
             self.words = _Known()
         known, odd, parts = self.words, [], []
         for t in texts:
