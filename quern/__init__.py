@@ -1,0 +1 @@
+"""A Spark-native engine for searching document collections and evaluating the searches."""
