@@ -40,7 +40,7 @@ def choose_body(files: Column, item_access: Column) -> Column:
     described = F.filter(pdfs, lambda f: F.coalesce(f["description"] == BODY_DESCRIPTION, F.lit(False)))
 
     def largest(of: Column) -> Column:
-        pairs = F.transform(of, lambda p, i: F.struct(F.element_at(F.filter(texts, lambda t: t["name"] == F.concat(p["name"], F.lit(".txt"))), -1).alias("t"), (-i).alias("i")))
+        pairs = F.transform(of, lambda p, i: F.struct(F.try_element_at(F.filter(texts, lambda t: t["name"] == F.concat(p["name"], F.lit(".txt"))), F.lit(-1)).alias("t"), (-i).alias("i")))
         found = F.filter(pairs, lambda x: x["t"].isNotNull())
         return F.array_max(F.transform(found, lambda x: F.struct(x["t"]["size"].alias("size"), x["i"].alias("i"), x["t"].alias("t"))))["t"]
 
