@@ -8,15 +8,15 @@ five standard errors) are confirmed on the full sets, so no estimate decides a l
 
 A pair at the threshold 0.75 shares no band with probability (1 - 0.75**4)**32 = 5e-6; more similar ones less.
 
-Skew: a bucket of n classes is not expanded into n*n pairs. In every round a bucket proposes one hub to its members
-outside the hub's component; confirmed links merge components; another hub follows. Buckets that still hold several components
-when few pairs are left (or after ``ROUNDS`` rounds) are compared across components exactly, by a join whose condition has the bit estimate.
-So the components are those of all links; pairs that the links already connect are never compared.
+Skew: a bucket of n classes is not expanded into n*n pairs. First every bucket's smallest class is compared with its others, and confirmed
+links merge components. What is left of a bucket in several components is then compared across them in blocks (``across``), so
+the components are those of all links; pairs that the links already connect are never compared, and no row stands for a pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +24,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import U64, as_bytes, bound_batches, mix64, stage
+from quern.llm.common import U64, as_bytes, bound_batches, mix64, shuffle_partitions, stage
 from quern.llm.graph import components
 
 WORDS, HASHES, ROWS, BITS = 5, 128, 4, 4
 BANDS = HASHES // ROWS
 THRESHOLD = 75
 SLACK = 0.20
-ROUNDS = 8
+#: Members of a bucket that are compared in one task, twice.
+BLOCK = 512
 #: Up to so many candidate ids (8 bytes each) are broadcast to pick their documents; more are joined by shuffle.
 BROADCAST_IDS = 400_000
 
@@ -145,6 +146,16 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, grams binary")
 
 
+def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two full sets (sorted) have at least ``threshold`` hundredths in common."""
+    p, q = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(p) < threshold * len(q):
+        return False
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    common = int(np.count_nonzero(q[at] == p))
+    return 100 * common >= threshold * (len(p) + len(q) - common)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("ga")), "a")
@@ -154,18 +165,98 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> Da
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = sorted((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")), key=len)
-                if 100 * len(p) < threshold * len(q):
-                    good.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                common = int(np.count_nonzero(q[at] == p))
-                good.append(100 * common >= threshold * (len(p) + len(q) - common))
+                good.append(similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
 
 
+def _matching(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimates of all pairs of two blocks of packed signatures."""
+    odd = np.zeros((len(a), len(b)), dtype=np.int16)
+    for i in range(a.shape[1]):
+        x = a[:, None, i] ^ b[None, :, i]
+        x |= x >> U64(1)
+        x |= x >> U64(2)
+        odd += np.bitwise_count(x & U64(0x1111111111111111))
+    chance = 2.0**-BITS
+    return (1 - odd / HASHES - chance) / (1 - chance)
+
+
+def across(rest: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, b): confirmed links between components in the buckets ``rest`` (key, rep, comp, size), enough to join whatever is linked.
+
+    Buckets of more than ``BLOCK`` members are dealt over pairs of blocks. Two steps, each with a row per member and block pair and none per pair:
+    estimates on packed signatures list a member's likely partners (in the first bucket only that the two share); then the members
+    that are in such a list come with their full sets, and pairs that are not yet joined in the task are confirmed.
+    """
+    spark = rest.sparkSession
+    parts = shuffle_partitions(spark)
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp")
+    dealt = stage(dealt.join(sketches, "rep").select("key", "i", "j", "block", "rep", "comp", "sig", "bands").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j"), "minhash-rest")
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        rows = (row for batch in batches for row in batch.to_pylist())
+        for at, members in groupby(rows, key=lambda r: (r["key"], r["i"], r["j"])):
+            yield at, list(members)
+
+    def list_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, i, j), members in groups(batches):
+            block, comp = (np.array([m[c] for m in members]) for c in ("block", "comp"))
+            sig = np.array([m["sig"] for m in members], dtype=np.int64).view(U64)
+            bands = np.array([m["bands"] for m in members], dtype=np.int64)
+            one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            a, b = np.nonzero((_matching(sig[one], sig[two]) >= threshold / 100 - SLACK) & (comp[one][:, None] != comp[two][None, :]))
+            a, b = one[a], two[b]
+            if i == j:
+                a, b = a[a < b], b[a < b]
+            keep = []
+            for start in range(0, len(a), 50_000):
+                same = bands[a[start : start + 50_000]] == bands[b[start : start + 50_000]]
+                keep.append(bands[a[start : start + 50_000], same.argmax(axis=1)] == key)
+            keep = np.concatenate(keep) if keep else np.zeros(0, dtype=bool)
+            a, b = a[keep], b[keep]
+            if not len(a):
+                continue
+            own = {k: [] for k in np.union1d(a, b).tolist()}
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                own[x].append(members[y]["rep"])
+            yield pa.record_batch({
+                "key": pa.array([key] * len(own), pa.int64()), "i": pa.array([i] * len(own), pa.int32()), "j": pa.array([j] * len(own), pa.int32()),
+                "rep": pa.array([members[k]["rep"] for k in own], pa.int64()), "comp": pa.array([members[k]["comp"] for k in own], pa.int64()),
+                "partners": pa.array([np.array(v, dtype="<i8").tobytes() for v in own.values()], pa.binary()),
+            })
+
+    def confirm_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, members in groups(batches):
+            grams = {m["rep"]: np.frombuffer(m["grams"], "<u8") for m in members}
+            roots = {m["rep"]: m["comp"] for m in members} | {m["comp"]: m["comp"] for m in members}
+
+            def root(x: int, roots: dict = roots) -> int:
+                while roots[x] != x:
+                    roots[x] = roots[roots[x]]
+                    x = roots[x]
+                return x
+
+            found = []
+            for m in members:
+                for other in np.frombuffer(m["partners"], "<i8").tolist():
+                    x, y = root(m["rep"]), root(other)
+                    if x != y and similar(grams[m["rep"]], grams[other], threshold):
+                        roots[max(x, y)] = min(x, y)
+                        found.append(sorted((m["rep"], other)))
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    listed = stage(dealt.mapInArrow(list_partners, "key long, i int, j int, rep long, comp long, partners binary"), "minhash-partners")
+    full = listed.join(sets.select(F.col("doc").alias("rep"), "grams"), "rep").select("key", "i", "j", "rep", "comp", "partners", "grams")
+    full = full.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return stage(full.mapInArrow(confirm_partners, "a long, b long"), "minhash-late")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text; other columns are not read).
 
@@ -197,41 +288,22 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         edges = edges.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
         return edges.where(estimate("sa", "sb") >= threshold / 100 - SLACK).select("a", "b").distinct()
 
-    links = known = None
-    for turn in range(ROUNDS + 1):
-        state = members.withColumn("comp", F.col("rep"))
-        if known is not None:
-            state = members.join(known, F.col("rep") == F.col("node"), "left").select(
-                "key", "rep", F.coalesce("root", "rep").alias("comp")
-            )
-        open_keys = state.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n"),
-            F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("hub")).where("c1 < c2")
-        left = stage(open_keys.select("key", "n", F.col("hub.rep").alias("hub"), F.col("hub.comp").alias("hub_comp")), "minhash-open")
-        n_keys, n_members, squares = left.agg(F.count("*"), F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1))).first()
-        if not n_keys:
-            break
-        todo = state.join(left.select("key", "hub", "hub_comp"), "key")
-        if turn and (squares <= 8 * n_members or turn == ROUNDS):
-            todo = state.join(left.select("key"), "key").join(sigs.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"))
-            todo = stage(todo.select("key", "rep", "comp", "sig"), "minhash-rest")
-            one = todo.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("sa"))
-            two = todo.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sb"))
-            close = one.join(two, (one["key"] == two["key"]) & (F.col("ca") < F.col("cb")) & (estimate("sa", "sb") >= threshold / 100 - SLACK))
-            close = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            proposed = todo.where("comp <> hub_comp").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-            close = likely(proposed.distinct())
-        new = confirm(stage(close, "minhash-close"), sets, threshold)
-        links = stage(new if links is None else links.unionByName(new), "minhash-links")
-        known = stage(components(links), "minhash-components")
-        if turn and (squares <= 8 * n_members or turn == ROUNDS):
-            break
+    # The smallest class of each bucket is proposed to the others of it.
+    hubs = members.groupBy("key").agg(F.min("rep").alias("hub"))
+    proposed = members.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    links = stage(confirm(stage(likely(proposed), "minhash-close"), sets, threshold), "minhash-links")
+    known = stage(components(links), "minhash-components")
+    # Then whatever of a bucket is in several components is compared across them.
+    state = members.join(known, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
+    state = stage(state, "minhash-state")
+    several = state.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2")
+    rest = state.join(stage(several.select("key", "size"), "minhash-open"), "key")
+    late = across(rest, classes.select("rep", "sig", "bands"), sets, threshold)
+    links = links.unionByName(late)
+    known = stage(components(links), "minhash-all-components")
     named = classes.select("h1", "h2", "rep")
-    if known is not None:
-        named = stage(
-            named.join(known, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("rep")),
-            "minhash-named",
-        )
+    named = named.join(known, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("rep"))
+    named = stage(named, "minhash-named")
     joined = rows.select("doc", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc"))
     return joined.select(
