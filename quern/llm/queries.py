@@ -102,8 +102,8 @@ def op8_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTOR_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e, label, row_number() OVER () AS row_id FROM embeddings),
-good AS (
-  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+good AS MATERIALIZED (
+  SELECT vec_id, label, row_id, list_transform(e, lambda x: coalesce(x, 0)) AS e FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
     AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.row_id <> b.row_id

@@ -1,0 +1,114 @@
+"""Spans against a brute-force reading of the contract, over sample tables and awkward texts."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from quern.llm import pii, queries
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": lambda m=m: True,
+                "ip": lambda m=m: all(int(p) <= 255 for p in m[0].split(".")),
+                "card": lambda d=digits: 13 <= len(d) <= 19 and luhn(d),
+                "phone": lambda d=digits: 9 <= len(d) <= 15,
+            }[kind]()
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def awkward():
+    rng = random.Random(5)
+    bits = list("aZ09.@-+%_ ()\n😀é") + ["a.b@c.de", "1.2.3.4", "999.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (555) 555-1234", "00"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    return [
+        *texts, None, "", "a" * 3_000, "1" * 3_000, "1 " * 2_000, "a@b.c " * 1_000, "+" * 3_000, "+1" + "(" * 3_000, "1.2.3.4 " * 1_000,
+        "😀" * 300 + "x@y.zz 4111111111111111 +14155552671", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "0255.01.1.1", "a@b.c@d.e", "x@y", "4" * 16,
+    ]
+
+
+def check(rows):
+    for r in rows:
+        want = base_spans(r.text)
+        got = [(s.kind, s.start, s.end) for s in r._base]
+        assert got == want, r.text[:200]
+        both = [(s.kind, s.start, s.end) for s in r._spans]
+        assert set(want) <= set(both)
+        assert both == sorted(both, key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2]))
+        for s in r._spans:
+            assert (r.text or "")[s.start : s.end] == s.text
+
+
+def test_base_spans_of_awkward_texts(spark):
+    docs = spark.createDataFrame([(i if i % 7 else None, t, 1) for i, t in enumerate(awkward())], "doc_id long, text string, start int")
+    rows = pii.find(docs, pii.train(docs)).collect()
+    assert len(rows) == len(awkward()) and rows[3].start == 1
+    check(rows)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001"])
+def test_base_spans_of_tables(spark, sf):
+    docs = queries.table(spark, f"/root/testdata/{sf}", "documents")
+    found = pii.find(docs, pii.train(docs)).collect()
+    check(found)
+    rows = {r.doc_id: r for r in queries.op1_pii(spark, f"/root/testdata/{sf}").collect()}
+    for r in found:
+        want = base_spans(r.text)
+        said = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert rows[r.doc_id].base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert rows[r.doc_id].n_card == sum(k == "card" for k, _, _ in want)
+
+
+def test_proposed_spans_are_selected_and_redacted(spark):
+    text = "Write to jane (at) example (dot) org or call (415) 555-2671, host 2001:0db8:85a3:0000:0000:8a2e:0370:7334."
+    docs = spark.createDataFrame([(1, text), (2, "Nothing of the kind in 2024, page 12 of 300.")], "doc_id long, text string")
+    model = pii.train(queries.table(spark, "/root/testdata/sf0.01", "documents"))
+    model.thresholds = {k: 0.0 for k in pii.KINDS}
+    rows = {r.doc_id: r for r in pii.find(docs, model).collect()}
+    assert [(s.kind, s.text) for s in rows[1]._spans] == [
+        ("email", "jane (at) example (dot) org"), ("ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), ("phone", "(415) 555-2671"),
+    ]
+    assert not rows[2]._spans
+    clean = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
+    assert clean[1] == "Write to [email] or call [phone], host [ip]." and clean[2].startswith("Nothing")
+
+
+def test_main_path_stays_in_the_jvm(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    plan = pii.find(docs, pii.train(docs))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.find(docs, pii.train(docs)).count() == 0
+
+
+def test_very_long_texts_neither_fail_nor_stall(spark):
+    texts = ["a" * 300_000, "1" * 300_000, "1 " * 150_000, "+1" + "(" * 100_000, "1.2.3.4 " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = {r.doc_id: r.n for r in pii.find(docs, pii.Trees(0.0, [], {})).selectExpr("doc_id", "size(_base) AS n").collect()}
+    assert sizes == {0: 0, 1: 0, 2: 0, 3: 0, 4: 20_000}
