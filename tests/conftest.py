@@ -1,7 +1,16 @@
+import os
+import sys
+
 import pytest
 from pyspark.sql import SparkSession
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+# Python workers import the package too.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (
