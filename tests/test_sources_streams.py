@@ -66,9 +66,10 @@ def test_paged_source(spark, tmp_path):
     assert {r.id for r in spark.read.parquet(out).collect()} == {f"plain-{i}" for i in range(5)}
 
 
-def test_windows_agree_with_batch(spark):
+def test_windows_agree_with_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    stream = spark.readStream.schema(events.schema).parquet("/root/testdata/sf0.001/events.parquet")
+    events.write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
     q = ingest.tumbling(stream, late="400 days").writeStream.outputMode("complete").format("memory").queryName("tumbling").start()
     q.processAllAvailable()
     q.stop()
