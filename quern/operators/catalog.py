@@ -99,7 +99,8 @@ def language_vote(docs: DataFrame, lexicon: DataFrame, least: float = 0.3) -> Da
     The lexicon (word, lang) is small by nature and counted before it is broadcast."""
     from quern.operators.search import maybe_broadcast
 
-    words = docs.select("doc_id", F.size(T.tokens(F.col("text"))).alias("n"), F.explode_outer(T.tokens(F.col("text"))).alias("word"))
+    found = docs.select("doc_id", T.tokens(F.col("text")).alias("toks")).select("doc_id", F.size("toks").alias("n"), "toks")
+    words = found.select("doc_id", "n", F.explode("toks").alias("word"))
     counts = words.groupBy("doc_id", "n", "word").agg(F.count("*").alias("c")).join(maybe_broadcast(lexicon), "word", "left")
     shares = counts.where("lang IS NOT NULL").groupBy("doc_id", "lang").agg((F.sum("c") / F.first("n")).alias("share"))
     best = shares.groupBy("doc_id").agg(F.max_by(F.struct("lang", "share"), F.struct("share", F.negative(F.ascii("lang")), "lang")).alias("b"))

@@ -53,6 +53,11 @@ PARTS = {
     FROM lex_docs r LEFT JOIN qrels j ON r.query_id = j.query_id AND r.doc_id = j.doc_id GROUP BY 1) f ON f.query_id = q.query_id
   LEFT JOIN (SELECT query_id, sum(grade / log2(place + 1)) FILTER (place <= 10) AS idcg, count(*) FILTER (grade >= 1) AS relevant FROM
     (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS place FROM qrels) GROUP BY 1) i ON i.query_id = q.query_id""",
+    "rbo_values": """WITH a AS (SELECT q.grp, r.doc_id, r.rank FROM lex_docs r JOIN q USING (query_id) WHERE query_id % 2 = 0 AND rank <= 10), b AS (SELECT q.grp, r.doc_id, r.rank FROM lex_docs r JOIN q USING (query_id) WHERE query_id % 2 = 1 AND rank <= 10),
+  k AS (SELECT grp, least(ka, kb) AS k FROM (SELECT grp, max(rank) AS ka FROM a GROUP BY 1) JOIN (SELECT grp, max(rank) AS kb FROM b GROUP BY 1) USING (grp)),
+  d AS (SELECT grp, k, unnest(range(1, k + 1)) AS d FROM k),
+  o AS (SELECT d.grp, d.k, d.d, count(a.doc_id) AS x FROM d LEFT JOIN (SELECT a.grp, a.doc_id, greatest(a.rank, b.rank) AS at FROM a JOIN b ON a.grp = b.grp AND a.doc_id = b.doc_id) a ON a.grp = d.grp AND a.at <= d.d GROUP BY ALL)
+  SELECT grp, round(max(CASE WHEN d = k THEN x / k * pow(0.9, k) END) + 0.1 / 0.9 * sum(x / d * pow(0.9, d)), 6) AS rbo FROM o GROUP BY grp""",
     "known": """SELECT v.*, q.type, CASE WHEN q.lang = q.target_lang THEN 'same_language' ELSE 'cross_lingual' END AS crossing, q.lang || '->' || q.target_lang AS pair
   FROM values_ v JOIN q USING (query_id) WHERE q.type <> 'topic'""",
     "pairs_ab": "SELECT query_id, mrr_10 AS a, success_10 AS b FROM values_",
@@ -123,11 +128,7 @@ ORACLES = {
     "metric_breakdowns": """SELECT CASE g WHEN 7 THEN 'all' WHEN 3 THEN 'crossing' WHEN 5 THEN 'type' ELSE 'pair' END AS part, coalesce(crossing, type, pair, 'all') AS name, queries, mrr_10, success_1, success_10, success_100
   FROM (SELECT crossing, type, pair, grouping(crossing, type, pair) AS g, count(*) AS queries, round(avg(mrr_10), 4) AS mrr_10, round(avg(success_1), 4) AS success_1, round(avg(success_10), 4) AS success_10, round(avg(success_100), 4) AS success_100
   FROM known GROUP BY GROUPING SETS ((), (crossing), (type), (pair)))""",
-    "rbo_pairs": """WITH a AS (SELECT q.grp, r.doc_id, r.rank FROM lex_docs r JOIN q USING (query_id) WHERE query_id % 2 = 0 AND rank <= 10), b AS (SELECT q.grp, r.doc_id, r.rank FROM lex_docs r JOIN q USING (query_id) WHERE query_id % 2 = 1 AND rank <= 10),
-  k AS (SELECT grp, least(ka, kb) AS k FROM (SELECT grp, max(rank) AS ka FROM a GROUP BY 1) JOIN (SELECT grp, max(rank) AS kb FROM b GROUP BY 1) USING (grp)),
-  d AS (SELECT grp, k, unnest(range(1, k + 1)) AS d FROM k),
-  o AS (SELECT d.grp, d.k, d.d, count(a.doc_id) AS x FROM d LEFT JOIN (SELECT a.grp, a.doc_id, greatest(a.rank, b.rank) AS at FROM a JOIN b ON a.grp = b.grp AND a.doc_id = b.doc_id) a ON a.grp = d.grp AND a.at <= d.d GROUP BY ALL)
-  SELECT grp AS key, round(max(CASE WHEN d = k THEN x / k * pow(0.9, k) END) + 0.1 / 0.9 * sum(x / d * pow(0.9, d)), 6) AS rbo FROM o GROUP BY grp""",
+    "rbo_pairs": "SELECT grp AS key, rbo FROM rbo_values",
     "paired_sign_test": """SELECT higher, lower, round(least(1.0, 2 * (SELECT coalesce(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))), 1.0) FROM (SELECT unnest(range(0, least(higher, lower) + 1)) AS i))), 6) AS p
   FROM (SELECT count(*) FILTER (a < b) AS higher, count(*) FILTER (a > b) AS lower, count(*) FILTER (a <> b) AS n FROM pairs_ab)""",
     "randomization_pvalue": """WITH d AS (SELECT query_id, a - b AS d FROM pairs_ab), s AS (SELECT p, abs(sum(CASE WHEN substr(md5('0:' || p || ':' || query_id), 1, 1) < '8' THEN d ELSE -d END)) AS s FROM d CROSS JOIN (SELECT unnest(range(1000)) AS p) GROUP BY p)
@@ -192,6 +193,24 @@ ORACLES = {
     "tpch_percentile": "SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.5), 4) AS median FROM customer GROUP BY 1",
     "length_histogram": "SELECT lang, floor(n_chars / 1000)::BIGINT AS kilo, count(*) AS n FROM documents GROUP BY ALL",
     "query_escaping": r"""SELECT item_id, regexp_replace(trim(regexp_replace(replace(substr(text, 1, 80), '%', ''), '\s+', ' ', 'g')), '([+\-!(){}\[\]^"~*?:\\/&|])', '\\\1', 'g') AS text FROM benchmark""",
+    "consistency_by_type": "SELECT type, round(avg(rbo), 4) AS rbo, count(*) AS groups FROM (SELECT v.rbo, q.type FROM rbo_values v JOIN q ON q.grp = v.grp AND q.query_id % 2 = 0) GROUP BY ROLLUP (type)",
+    "twin_removed_corpus": "SELECT doc_id, source FROM documents WHERE n_chars >= 200 AND doc_id % 7 <> 3",
+    "result_snippets": r"SELECT l.query_id, l.doc_id, l.ord, l.rank, substr(trim(regexp_replace(c.text, '\s+', ' ', 'g')), 1, 160) AS snippet FROM lex l JOIN chunks c ON c.doc_id = l.doc_id AND c.ord = l.ord WHERE rank <= 3",
+    "language_vote": r"""WITH w(word, lang) AS (VALUES ('the','en'),('and','en'),('of','en'),('le','fr'),('de','fr'),('et','fr'),('der','de'),('und','de'),('die','de'),('el','es'),('los','es'),('y','es')),
+  t AS (SELECT doc_id, len(toks) AS n, unnest(toks) AS word FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS toks FROM documents)), s AS (SELECT doc_id, lang, count(*) / max(n) AS share FROM t JOIN w USING (word) GROUP BY ALL),
+  b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY share DESC, ascii(lang), lang DESC) AS r FROM s) SELECT d.doc_id, CASE WHEN b.share >= 0.05 THEN b.lang END AS lang, round(coalesce(b.share, 0.0), 6) AS share FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND b.r = 1""",
+    "body_choice": """WITH f AS (SELECT doc_id, doc_id % 5 <> 0 AS pdfs, doc_id % 5 <> 0 AND doc_id % 3 = 0 AS described, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN doc_id % 11 END AS a FROM documents),
+  c AS (SELECT *, CASE WHEN NOT pdfs THEN NULL WHEN described THEN CASE WHEN a IS NOT NULL THEN 'a.txt' END WHEN a >= 6 THEN 'a.txt' ELSE 'b.txt' END AS name FROM f)
+  SELECT doc_id, name, CASE name WHEN 'a.txt' THEN a WHEN 'b.txt' THEN 6 END AS size, CASE WHEN name IS NOT NULL THEN CASE WHEN described THEN 'description' ELSE 'largest text' END END AS rule,
+  CASE WHEN NOT pdfs THEN 'no pdf' WHEN name IS NULL THEN 'no text' WHEN name = 'a.txt' AND doc_id % 13 = 0 THEN 'restricted' END AS missing FROM c""",
+    "metadata_chunks": """WITH m AS (SELECT doc_id, lang, nullif(substr(text, 1, 20), '') AS t1, CASE WHEN doc_id % 2 = 0 THEN nullif(substr(text, 21, 20), '') END AS t2 FROM documents),
+  u AS (SELECT doc_id, -1 AS ord, concat_ws(chr(10), CASE WHEN lang <> 'en' THEN t1 END, CASE WHEN lang = 'en' THEN t2 END, CASE WHEN doc_id % 3 = 0 THEN 'k1, k2' END) AS text FROM m
+  UNION ALL SELECT doc_id, -2, concat_ws(chr(10), CASE WHEN lang = 'en' THEN t1 END, CASE WHEN lang <> 'en' THEN t2 END, CASE WHEN doc_id % 5 = 0 THEN 'an abstract' END) FROM m) SELECT doc_id, ord, text FROM u WHERE text <> ''""",
+    "source_overview": "SELECT source, sum(n) AS documents, arg_max(lang, (n, lang)) AS main_lang, min(low) AS shortest, max(high) AS longest FROM (SELECT source, lang, count(*) AS n, min(n_chars) AS low, max(n_chars) AS high FROM documents GROUP BY ALL) GROUP BY 1",
+    "two_level_retrieval": """SELECT query_id, doc_id, ord, score FROM (SELECT s.*, row_number() OVER (PARTITION BY s.query_id, s.doc_id ORDER BY s.rank) AS n FROM sem s JOIN lex_docs l ON l.query_id = s.query_id AND l.doc_id = s.doc_id AND l.rank <= 5) WHERE n = 1""",
+    "median_latency": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, list_sort(list(value))[(count(value) // 2)::BIGINT + 1] AS upper_median FROM events GROUP BY 1",
+    "integrity_report": """SELECT (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS stray_judgments, (SELECT count(*) FROM (SELECT query_id FROM q GROUP BY 1 HAVING count(*) > 1)) AS repeated_queries,
+  (SELECT count(*) FROM (SELECT lower(trim(text)) AS t FROM q GROUP BY 1 HAVING count(DISTINCT lang) > 1)) AS shared_texts""",
     "content_hashes": "SELECT doc_id, sha256(text) AS sha, md5(text) AS md FROM documents",
 }
 

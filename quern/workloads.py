@@ -90,7 +90,7 @@ def token_stats(d: Data) -> DataFrame:
 
 @query
 def bm25_idf(d: Data) -> DataFrame:
-    return S.idf(S.chunk_terms(d.chunks()), S.collection_stats(d.chunks())).select("term", "df", F.round("idf", 6).alias("idf"))
+    return S.idf(S.chunk_vocabulary(d.chunks()), S.collection_stats(d.chunks())).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query
@@ -456,3 +456,82 @@ def query_escaping(d: Data) -> DataFrame:
 @query
 def content_hashes(d: Data) -> DataFrame:
     return d.documents.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.md5(F.col("text").cast("binary")).alias("md"))
+
+
+@query
+def consistency_by_type(d: Data) -> DataFrame:
+    return M.consistency(d.queries(), d.lexical_docs())
+
+
+@query
+def twin_removed_corpus(d: Data) -> DataFrame:
+    no_abstract = d.documents.where("n_chars < 200").select("doc_id")
+    twins = d.documents.where("doc_id % 7 = 3").select("doc_id")
+    return d.documents.join(no_abstract, "doc_id", "left_anti").join(twins, "doc_id", "left_anti").select("doc_id", "source")
+
+
+@query
+def result_snippets(d: Data) -> DataFrame:
+    best = first(d.lexical(), 3).join(d.chunks(), ["doc_id", "ord"])
+    return best.select("query_id", "doc_id", "ord", "rank", T.snippet(F.col("text")).alias("snippet"))
+
+
+@query
+def language_vote(d: Data) -> DataFrame:
+    words = [("the", "en"), ("and", "en"), ("of", "en"), ("le", "fr"), ("de", "fr"), ("et", "fr"), ("der", "de"), ("und", "de"), ("die", "de"), ("el", "es"), ("los", "es"), ("y", "es")]
+    return C.language_vote(d.documents.select("doc_id", "text"), d.spark.createDataFrame(words, "word string, lang string"), 0.05)
+
+
+@query
+def body_choice(d: Data) -> DataFrame:
+    n = F.col("doc_id")
+    pdf = lambda name, described: F.struct(F.lit("ORIGINAL").alias("bundle"), F.lit(name).alias("name"), F.when(described, C.BODY_DESCRIPTION).alias("description"), F.lit(C.PDF).alias("format"), F.lit(1).cast("long").alias("size"), F.lit("u").alias("url"), F.lit("m").alias("md5"), F.lit(None).cast("string").alias("access"))
+    txt = lambda name, size, access: F.struct(F.lit("TEXT").alias("bundle"), F.lit(name).alias("name"), F.lit(None).cast("string").alias("description"), F.lit("text/plain").alias("format"), size.cast("long").alias("size"), F.lit("u").alias("url"), F.lit("m").alias("md5"), access.alias("access"))
+    files = F.concat(
+        F.when(n % 5 != 0, F.array(pdf("a", n % 3 == 0), pdf("b", F.lit(False)))).otherwise(F.array().cast(_FILES)),
+        F.when(n % 7 != 0, F.array(txt("a.txt", n % 11, F.when(n % 13 == 0, "restrictedAccess")))).otherwise(F.array().cast(_FILES)),
+        F.array(txt("b.txt", F.lit(6), F.lit(None).cast("string"))),
+    )
+    body = d.documents.select("doc_id", C.choose_body(files, F.lit(None).cast("string")).alias("b"))
+    return body.select("doc_id", F.col("b.name").alias("name"), F.col("b.size").alias("size"), F.col("b.rule").alias("rule"), F.col("b.missing").alias("missing"))
+
+
+_FILES = "array<struct<bundle:string,name:string,description:string,format:string,size:bigint,url:string,md5:string,access:string>>"
+
+
+@query
+def metadata_chunks(d: Data) -> DataFrame:
+    rows = d.documents.select(
+        "doc_id", F.substring("text", 1, 20).alias("title"), F.col("lang").alias("title_lang"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 21, 20)).alias("title_translated"),
+        F.when(F.col("lang") == "en", "cs").otherwise("en").alias("title_translated_lang"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("k1"), F.lit("k2"))).alias("keywords_cs"),
+        F.array().cast("array<string>").alias("keywords_en"), F.lit(None).cast("string").alias("abstract_cs"), F.when(F.col("doc_id") % 5 == 0, F.lit("  an   abstract ")).alias("abstract_en"),
+    )
+    return S.metadata_chunks(rows)
+
+
+@query
+def source_overview(d: Data) -> DataFrame:
+    """For each source its documents, their most frequent language and the span of lengths."""
+    counts = d.documents.groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
+    return counts.groupBy("source").agg(F.sum("n").alias("documents"), F.max_by("lang", F.struct("n", "lang")).alias("main_lang"), F.min("low").alias("shortest"), F.max("high").alias("longest"))
+
+
+@query
+def two_level_retrieval(d: Data) -> DataFrame:
+    """Documents first, then their best chunks."""
+    docs = first(d.lexical_docs(), 5).select("query_id", "doc_id")
+    return S.passages(d.semantic().join(docs, ["query_id", "doc_id"], "left_semi"), 1).select("query_id", "doc_id", "ord", "score")
+
+
+@query
+def median_latency(d: Data) -> DataFrame:
+    return d.events.groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), F.element_at(F.sort_array(F.collect_list("value")), (F.count("value") / 2).cast("int") + 1).alias("upper_median"))
+
+
+@query
+def integrity_report(d: Data) -> DataFrame:
+    """Counts that must be zero in a good set: judged documents without a text, repeated query ids, topics of both parts."""
+    stray = d.labels.join(d.documents, "doc_id", "left_anti").agg(F.count("*").alias("stray_judgments"))
+    twice = d.queries().groupBy("query_id").count().where("count > 1").agg(F.count("*").alias("repeated_queries"))
+    both = d.queries().groupBy(F.lower(F.trim("text")).alias("t")).agg(F.countDistinct("lang").alias("n")).where("n > 1").agg(F.count("*").alias("shared_texts"))
+    return stray.crossJoin(twice).crossJoin(both)
