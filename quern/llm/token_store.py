@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import word_bpe
@@ -142,6 +142,14 @@ def library_encoder(tokenizer_json: str, width: int):
 _ENCODERS: dict = {}
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the store that Spark finds it in, as ``pyarrow.fs`` reads it."""
+    jvm = spark.sparkContext._jvm
+    own = jvm.org.apache.hadoop.fs.Path(path)
+    full = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(own).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def write_shards(
     docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, key: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS
 ) -> DataFrame:
@@ -158,7 +166,7 @@ def write_shards(
     highest = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"]), end_id or 0])
     width = 2 if highest < 1 << 16 else 4
     shared = spark.sparkContext.broadcast(source)
-    folder = f"{shared_dir(spark)}/quern/tokens-{uuid.uuid4().hex}"
+    folder = f"{qualified(spark, shared_dir(spark))}/quern/tokens-{uuid.uuid4().hex}"
     end = b"" if end_id is None else end_id.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +182,7 @@ def write_shards(
             nonlocal keys, ids, held, seq, start
             raw = build_shard(keys, ids, width, {"range": pid, "shard": seq, "start": start})
             name = f"{folder}/{pid:06d}-{seq:06d}-{uuid.uuid4().hex}.qtok"
-            store, path = fs.FileSystem.from_uri(name) if "://" in name or name.startswith("file:") else (fs.LocalFileSystem(), name)
+            store, path = fs.FileSystem.from_uri(name)
             store.create_dir(os.path.dirname(path), recursive=True)
             with store.open_output_stream(path) as f:
                 f.write(raw)
@@ -200,7 +208,7 @@ def write_shards(
 
 
 def read_shard(path: str) -> Shard:
-    store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    store, inner = fs.FileSystem.from_uri(path)
     with store.open_input_stream(inner) as f:
         return Shard(f.read())
 
