@@ -41,7 +41,7 @@ class Data:
         return self.labels.withColumn("m", F.col("doc_id") % 13).join(sides, "m").select("query_id", "doc_id", grade)
 
     def chunks(self) -> DataFrame:
-        return S.chunks(self.documents)
+        return S.chunks(S.spread(self.documents.select("doc_id", "text")))
 
     def lexical_scores(self) -> DataFrame:
         return S.bm25(self.chunks(), self.queries())
