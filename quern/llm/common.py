@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -64,6 +65,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+#: What each operator keeps in a Python worker from one task to the next, by operator.
+_KEPT: dict[str, list] = {}
+
+
+def keep(owner: str, *caches: dict) -> None:
+    """Registers caches (dicts) of an operator."""
+    _KEPT.setdefault(owner, []).extend(caches)
+
+
+def only(owner: str) -> None:
+    """Empties the caches of all other operators: a worker that runs several one after another keeps one's."""
+    for name, caches in _KEPT.items():
+        if name != owner and any(caches):
+            for cache in caches:
+                cache.clear()
+            gc.collect()
+
+
 def hidden(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quern.llm import word_bpe
-from quern.llm.common import as_bytes, bound_batches
+from quern.llm.common import as_bytes, bound_batches, keep, only
 
 #: Words of the lexicon and their longest length in bytes: what is collected and broadcast is bounded by them.
 LEXICON_WORDS, LONGEST = 65_536, 48
 #: Words and pieces whose ids a worker keeps.
-MOST_WORDS, MOST_PIECES = 500_000, 400_000
+MOST_WORDS, MOST_PIECES = 400_000, 300_000
 #: Counted words that a task keeps while it reads.
 COUNTERS = 100_000
 
@@ -145,6 +145,7 @@ def frequent_words(docs: DataFrame, text_column: str = "text", most: int = LEXIC
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("counting")
         split = word_bpe.Splitter({})
         counts: Counter = Counter()
         for batch in batches:
@@ -204,6 +205,7 @@ class Lexicon:
 
 
 _ENCODERS: dict[str, word_bpe.Encoder] = {}
+keep("lexicon", _ENCODERS)
 
 
 def encode(docs: DataFrame, lexicon: Lexicon, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
@@ -250,6 +252,7 @@ def _map(rows: DataFrame, lexicon: Lexicon, source: str, new: dict[str, str], ru
         schema = schema.add(name, kind)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("lexicon")
         for batch in batches:
             made = run(shared.value, batch.column(kept.index(source)))
             columns = [pa.array(x, pa.binary()).cast(pa.binary() if kind == "binary" else pa.string()) for x, kind in zip(made, new.values(), strict=True)]

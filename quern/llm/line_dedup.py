@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quern.llm.common import U64, as_bytes, bound_batches, hidden, shuffle_partitions, stage
+from quern.llm.common import U64, as_bytes, bound_batches, hidden, only, shuffle_partitions, stage
 from quern.llm.mph import PerfectHash
 
 SPACE = b" \t\n\v\f\r"
@@ -47,6 +47,7 @@ def count_keys(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """(h1, h2, lo, hi, n) of the keys found in at least two documents: their first, last and number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("lines")
         for batch in batches:
             seen: dict[bytes, list[int]] = {}
             for doc, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):

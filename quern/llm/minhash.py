@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import U64, as_bytes, bound_batches, mix64, shuffle_partitions, stage
+from quern.llm.common import U64, as_bytes, bound_batches, keep, mix64, only, shuffle_partitions, stage
 from quern.llm.graph import components
 
 WORDS, HASHES, ROWS, BITS = 5, 128, 4, 4
@@ -46,7 +46,7 @@ BAND_SALTS = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 class _Words(dict):
     """Hashes of words; emptied when it holds too many."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -56,6 +56,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+keep("minhash", _WORDS)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -101,6 +102,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("minhash")
         for batch in batches:
             known: dict[bytes, tuple] = {}
             rows = []
@@ -139,6 +141,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """(doc, text) -> (doc, grams): the full sets, as packed 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("minhash")
         for batch in batches:
             grams = pa.array([shingles(raw).tobytes() for raw in as_bytes(batch.column(1))], pa.binary())
             yield pa.record_batch({"doc": batch.column(0), "grams": grams})

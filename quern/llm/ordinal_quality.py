@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quern.llm.common import as_bytes, bound_batches
+from quern.llm.common import as_bytes, bound_batches, keep, only
 
 BUCKETS = 1 << 18
 #: Labelled documents that are fitted on, and distinct features of one of them that are kept for the fit (all are used in scoring).
@@ -41,7 +41,7 @@ def _step(share: float) -> int:
 
 
 class Hasher(dict):
-    MOST = 500_000
+    MOST = 200_000
 
     def __missing__(self, piece: str) -> int:
         if len(self) >= self.MOST:
@@ -51,6 +51,7 @@ class Hasher(dict):
 
 
 _HASHES = Hasher()
+keep("quality", _HASHES)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -152,6 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     rows = docs.select("doc_id", "text").join(F.broadcast(rated), F.col("doc_id") == F.col("_rated")).select("_rated", "text", "_grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
         for batch in batches:
             found = [features((x or b"").decode()).tobytes() for x in as_bytes(batch.column(1))]
             yield pa.record_batch({"doc": batch.column(0), "found": pa.array(found, pa.binary()), "grade": batch.column(2)})
@@ -172,6 +174,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     at, names = docs.columns.index("text"), [*docs.columns, "_grade", "_tail", "_keep"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
         for batch in batches:
             tails = shared.value.tails([features((x or b"").decode()) for x in as_bytes(batch.column(at))]).round(9)
             tail = tails[:, KEEP_GRADE - 1]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import word_bpe
 from quern.llm.common import (
-    U64, as_bytes, bound_batches, mix64, offsets_by_partition, shared_dir, shuffle_partitions, stage,
+    U64, as_bytes, bound_batches, keep, mix64, only, offsets_by_partition, shared_dir, shuffle_partitions, stage,
 )
 from quern.llm.mph import PerfectHash
 
@@ -140,6 +140,7 @@ def library_encoder(tokenizer_json: str, width: int):
 
 
 _ENCODERS: dict = {}
+keep("tokens", _ENCODERS)
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -170,6 +171,7 @@ def write_shards(
     end = b"" if end_id is None else end_id.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("tokens")
         if _ENCODERS.get("key") != (source_id := hash(shared.value), width):
             _ENCODERS.update(key=(source_id, width), encode=library_encoder(shared.value, width))
         encode = _ENCODERS["encode"]
