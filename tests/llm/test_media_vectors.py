@@ -81,6 +81,30 @@ def test_recall_of_the_index_at_the_threshold():
         assert np.mean(shared >= embed_dedup.SHARED) > 0.998
 
 
+@pytest.mark.parametrize("noise", [0.04, 0.13, 0.3])
+def test_links_inside_a_hot_group(spark, noise):
+    """A third of 20,000 vectors are near copies of one vector, in one label; at the largest noise they are no dense group."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hot = x[0] + noise * x[: len(x) // 3]
+    hot[1::2] = hot[: len(hot) - 1 : 2][: len(hot[1::2])] + 0.1 * np.linalg.norm(hot[0]) * x[1 : len(hot) : 2]  # pairs near the threshold
+    x[: len(hot)] = hot
+    label = np.where(np.arange(len(x)) < len(hot), 0, np.arange(len(x)) % 10)
+    want = np.zeros(len(x), dtype=np.int64)
+    for k in range(10):
+        own = np.flatnonzero(label == k)
+        unit = x[own] / np.linalg.norm(x[own], axis=1)[:, None]
+        for at in range(0, len(own), 1000):
+            want[own[at : at + 1000]] = (unit[at : at + 1000] @ unit.T >= embed_dedup.THRESHOLD).sum(axis=1) - 1
+    rows = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x)), "label": label})
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows)).toPandas().set_index("vec_id")["n_links"].reindex(range(len(x))).to_numpy()
+    recall = got[: len(hot)].sum() / want[: len(hot)].sum()
+    print(f"noise {noise}: {want[: len(hot)].sum() // 2} links in the group, recall {recall:.6f}")
+    assert (got <= want).all() and want[: len(hot)].sum() > 5000
+    assert recall == 1 if noise < 0.3 else recall > 0.998
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randint(0, 40), 100 + rng.randint(0, 40)) for _ in range(30)] + [(500, x) for x in range(501, 560)]
