@@ -151,7 +151,7 @@ def frequent_words(docs: DataFrame, text_column: str = "text", most: int = LEXIC
         for batch in batches:
             part: Counter = Counter()
             for raw in as_bytes(batch.column(0)):
-                part.update((raw or b"").lower().split())
+                part.update(word_bpe.lowered_words(raw or b""))
             counts.update({w: n for w, n in part.items() if n > 1})
             if len(counts) > COUNTERS:  # lossy counting: the rarest go
                 counts = Counter(dict(counts.most_common(COUNTERS // 2)))

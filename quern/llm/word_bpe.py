@@ -198,6 +198,17 @@ class Merger:
         return np.array([x for x in ids if x >= 0], dtype=np.int64)
 
 
+def lowered_words(text: bytes) -> list[bytes]:
+    """The white-space words of a text (UTF-8) with ASCII letters in lower case, where NFC gives the same for both cases.
+
+    Of some letters only the small one has a composed form (t and U+0308). Marks that compose with ASCII letters are in
+    U+0300 to U+036F, whose first bytes are 0xCC and 0xCD: in a text that has them only words of ASCII are lowered.
+    """
+    if b"\xcc" in text or b"\xcd" in text:
+        return [w.lower() if w.isascii() else w for w in text.split()]
+    return text.lower().split()
+
+
 class _Known(dict):
     """Ids by word. An unknown word gets an empty place, listed in ``new``, that is filled once it is known."""
 
@@ -213,8 +224,8 @@ class _Known(dict):
 class Encoder:
     """Encodes texts by the white-space words in them, with bounded caches of words and of pieces.
 
-    ``encode_pieces`` gives the ids of pieces (UTF-8) as arrays. No piece crosses white space and lowering ASCII
-    letters first changes nothing, so the ids of a text are those of its words in order; a text that may hold a
+    ``encode_pieces`` gives the ids of pieces (UTF-8) as arrays. No piece crosses white space and ASCII letters are
+    lowered first only where that changes nothing (``lowered_words``), so the ids of a text are those of its words in order; a text that may hold a
     special token is cut as a whole. Caches only save work: they are emptied when full.
     """
 
@@ -250,7 +261,7 @@ class Encoder:
                 odd.append(self.split(t.decode()))
                 parts.append(None)
             else:
-                parts.append(list(map(known.__getitem__, t.lower().split())))
+                parts.append(list(map(known.__getitem__, lowered_words(t))))
         new, known.new = known.new, {}
         cut = [self.split.plain(w.decode()) for w in new]
         self._learn(cut + odd)

@@ -195,6 +195,15 @@ def test_pieces_like_the_library(tokenizer):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_letters_and_marks_like_the_library(tokenizer):
+    spec = word_bpe.load(open(queries.tokenizer_path(), encoding="utf-8").read())
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = [a + chr(m) for a in letters + letters.lower() for m in range(0x300, 0x370)]
+    texts += [f"AB {a}\u1dc2{chr(m)}x{a} CD" for a in letters for m in range(0x300, 0x370)]
+    own = word_bpe.Encoder(spec, word_bpe.Merger(spec).merge, "<u4")([t.encode() for t in texts])
+    assert not [t for t, ids in zip(texts, own, strict=True) if np.frombuffer(ids, "<u4").tolist() != tokenizer.encode(t, add_special_tokens=False).ids]
+
+
 def test_token_shards(docs, tokenizer):
     files = token_store.write_shards(docs, queries.tokenizer_path(), shard_ids=2000)
     got = sorted(((r.start, r.key, r.n_tokens, r.ids_crc32) for r in token_store.read_documents(files).collect()))
