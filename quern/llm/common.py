@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of the store that Spark finds it in, as ``pyarrow.fs`` reads it."""
+    jvm = spark.sparkContext._jvm
+    own = jvm.org.apache.hadoop.fs.Path(path)
+    full = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(own).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def put(spark: SparkSession, path: str, raw: bytes) -> str:
+    """Writes bytes as one file that appears whole; returns its qualified path."""
+    full = qualified(spark, path)
+    store, inner = fs.FileSystem.from_uri(full)
+    store.create_dir(os.path.dirname(inner), recursive=True)
+    part = f"{inner}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as f:
+        f.write(raw)
+    store.move(part, inner)
+    return full
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

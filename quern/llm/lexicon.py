@@ -1,13 +1,15 @@
 """BPE encoding and decoding with a lexicon of frequent words in a minimal acyclic transducer.
 
-The lexicon's words are compiled into an automaton in which equal suffixes share their states; every arc adds a
-number, and the sum along a word is the word's place in a table of id sequences. The automaton is one block of
-bytes that a worker memory-maps. Pieces outside the lexicon are merged exactly (``word_bpe.Merger``), so the lexicon
-saves work and never changes a result.
-
-Plan: one pass over all documents counts words by lossy counting in each task (bounded memory, no sampling), the
-partial counts meet in a grouped sum, and the ``LEXICON_WORDS`` most frequent reach the driver, which compiles and
-broadcasts them (a few MB at most: words of at most ``LONGEST`` bytes). The second pass encodes; it has no shuffle.
+The lexicon's white-space words are compiled into an automaton in which equal suffixes share their states; every arc adds a
+number, and the sum along a word is the word's place in a table of id sequences. Every chunk of texts sends its distinct words through the automaton;
+words outside the lexicon are cut into pieces and merged exactly (``word_bpe.Merger``), so the lexicon saves work and never changes a result. A worker
+keeps only the last merged words (``MERGED``), so its memory does not grow with what it has seen.
+
+The automaton is one file in the shared folder that Spark ships to every executor (``addFile``); the workers of an executor map the same file.
+
+Plan: one pass counts the words of all documents in the JVM (partial sums in each task; every occurrence counts) and writes the counts of those found twice
+or more; a histogram of counts on a logarithmic scale says from which count on at most ``LEXICON_WORDS`` words are left, and those reach the driver, which
+compiles them (words of at most ``LONGEST`` bytes). The second pass encodes; it has no shuffle.
 """
 
 from __future__ import annotations
@@ -16,25 +18,24 @@ import hashlib
 import mmap
 import os
 import struct
-import tempfile
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quern.llm import word_bpe
-from quern.llm.common import as_bytes, bound_batches, keep, only
+from quern.llm.common import as_bytes, bound_batches, keep, only, put, shared_dir, stage
 
-#: Words of the lexicon and their longest length in bytes: what is collected and broadcast is bounded by them.
+#: Words of the lexicon and their longest length in bytes: what is collected and shipped is bounded by them.
 LEXICON_WORDS, LONGEST = 65_536, 48
-#: Words and pieces whose ids a worker keeps.
-MOST_WORDS, MOST_PIECES = 400_000, 300_000
-#: Counted words that a task keeps while it reads.
-COUNTERS = 100_000
+#: Merged words of one generation that a worker keeps, each of at most ``LONGEST`` bytes; there are two.
+MERGED = 60_000
+#: Steps of the histogram of counts for each doubling.
+STEPS = 16
 
 
 class Transducer:
@@ -110,15 +111,13 @@ class Transducer:
         return cls(*parts)
 
     @classmethod
-    def mapped(cls, raw: bytes) -> Transducer:
-        """The automaton in a memory-mapped file of this process; the file has no name left and ends with it."""
-        with tempfile.TemporaryFile() as f:
-            f.write(raw)
-            f.flush()
+    def mapped(cls, path: str) -> Transducer:
+        """The automaton in a memory-mapped file."""
+        with open(path, "rb") as f:
             return cls.from_bytes(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def lookup(self, words: list[bytes]) -> list[np.ndarray | None]:
-        """The ids of each word; None outside the lexicon. All words step together."""
+    def lookup(self, words: list[bytes]) -> list[bytes | None]:
+        """The raw ids of each word; None outside the lexicon. All words step together."""
         if not words or not len(self.keys):
             return [None] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -137,36 +136,27 @@ class Transducer:
             hit = ends & (self.final[state] == 1)
             found[live[hit]] = place[hit]
             live, raw, state, place = live[~ends], raw[~ends], state[~ends], place[~ends]
-        return [self.ids[self.starts[i] : self.starts[i + 1]] if i >= 0 else None for i in found.tolist()]
+        raw, starts = memoryview(self.ids).cast("B"), (self.starts * 4).tolist()
+        return [bytes(raw[starts[i] : starts[i + 1]]) if i >= 0 else None for i in found.tolist()]
 
 
 def frequent_words(docs: DataFrame, text_column: str = "text", most: int = LEXICON_WORDS) -> list[bytes]:
-    """At most ``most`` of the most frequent pieces of all whole texts, in byte order. Ties go by the piece."""
-    bound_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("counting")
-        split = word_bpe.Splitter({})
-        counts: Counter = Counter()
-        for batch in batches:
-            part: Counter = Counter()
-            for raw in as_bytes(batch.column(0)):
-                part.update(word_bpe.lowered_words(raw or b""))
-            counts.update({w: n for w, n in part.items() if n > 1})
-            if len(counts) > COUNTERS:  # lossy counting: the rarest go
-                counts = Counter(dict(counts.most_common(COUNTERS // 2)))
-        pieces: Counter = Counter()
-        for word, n in counts.items():
-            for p in split.plain(word.decode()):
-                pieces[word_bpe.utf8(p)] += n
-        kept = [(w, n) for w, n in pieces.items() if len(w) <= LONGEST]
-        for at in range(0, len(kept), 20_000):
-            words, numbers = zip(*kept[at : at + 20_000], strict=True)
-            yield pa.record_batch({"piece": pa.array(words, pa.binary()), "n": pa.array(numbers, pa.int64())})
-
-    partial = docs.select(text_column).mapInArrow(run, "piece binary, n long")
-    top = partial.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
-    return sorted(bytes(r.piece) for r in top.collect())
+    """At most ``most`` of the most frequent white-space words of all whole texts, ASCII letters in lower case, in byte order.
+
+    Words found once are left out. Words whose counts fall in one step of the histogram come or stay away together."""
+    words = F.explode(F.split(F.col(text_column), r"[\x20\x09-\x0D]+")).alias("word")
+    lowered = F.translate("word", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("word")
+    counts = docs.select(words).where(F.octet_length("word").between(1, LONGEST)).select(lowered).groupBy("word").agg(F.count("*").alias("n"))
+    counts = stage(counts.where("n > 1").withColumn("step", F.floor(F.log2("n") * STEPS).cast("int")), "lexicon-counts")
+    left, least = most, None
+    for row in sorted(counts.groupBy("step").agg(F.count("*").alias("words")).collect(), reverse=True):
+        left -= row.words
+        if left < 0:
+            break
+        least = row.step
+    if least is None:
+        return []
+    return sorted(r.word.encode() for r in counts.where(F.col("step") >= least).select("word").collect())
 
 
 class Lexicon:
@@ -178,32 +168,71 @@ class Lexicon:
         if not word_bpe.applies(spec):
             raise ValueError("this tokenizer has another normalizer, splitting or model than the lexicon compiles")
         words = words or []
-        self.automaton = Transducer.compile(words, word_bpe.Merger(spec).merge(words)).to_bytes()
+        split, merger = word_bpe.Splitter({}), word_bpe.Merger(spec)
+        ids = word_bpe.by_pieces(split, _merged(merger), "<u4")[0](words)
+        self.automaton = Transducer.compile(words, [np.frombuffer(x, "<i4") for x in ids]).to_bytes()
         self.key = hashlib.sha256(tokenizer_json.encode() + self.automaton).hexdigest()
+        self.file: str | None = None
+
+    def __getstate__(self) -> dict:
+        """What is broadcast: the automaton goes by its file if it has one."""
+        return self.__dict__ | ({"automaton": None} if self.file else {})
 
     @classmethod
     def of(cls, docs: DataFrame, tokenizer_path: str, text_column: str = "text", most: int = LEXICON_WORDS) -> Lexicon:
         with open(tokenizer_path, encoding="utf-8") as f:
             return cls(f.read(), frequent_words(docs, text_column, most))
 
+    def ship(self, spark: SparkSession) -> None:
+        """Writes the automaton into the shared folder and has Spark bring it to every executor, later ones too."""
+        if self.file is None:
+            name = f"lexicon-{self.key}.fsa"
+            path = put(spark, f"{shared_dir(spark)}/quern/{name}", self.automaton)
+            spark.sparkContext.addFile(path)
+            self.file = name
+
     def encoder(self) -> word_bpe.Encoder:
         """Of this process; made once."""
         if self.key not in _ENCODERS:
             spec = word_bpe.load(self.text)
-            merger, automaton = word_bpe.Merger(spec), Transducer.mapped(self.automaton)
-
-            def ids(pieces: list[bytes]) -> list[np.ndarray]:
-                out = automaton.lookup(pieces)
-                unseen = [i for i, x in enumerate(out) if x is None]
-                for i, x in zip(unseen, merger.merge([pieces[i] for i in unseen]), strict=True):
-                    out[i] = x
+            automaton = Transducer.mapped(SparkFiles.get(self.file)) if self.file else Transducer.from_bytes(self.automaton)
+            split = word_bpe.Splitter(word_bpe.special_tokens(spec))
+            merge_words, encode_text = word_bpe.by_pieces(split, _merged(word_bpe.Merger(spec)), "<u4")
+
+            merged, before = {}, {}
+
+            def encode_words(words: list[bytes]) -> list[bytes]:
+                nonlocal merged, before
+                out = automaton.lookup(words)
+                unseen = []
+                for i, x in enumerate(out):
+                    if x is None:
+                        word = words[i]
+                        ids = merged.get(word)
+                        if ids is None:
+                            ids = before.get(word)
+                            if ids is None:
+                                unseen.append(i)
+                                continue
+                            merged[word] = ids
+                        out[i] = ids
+                for i, ids in zip(unseen, merge_words([words[i] for i in unseen]), strict=True):
+                    out[i] = ids
+                    if len(words[i]) <= LONGEST:
+                        merged[words[i]] = ids
+                if len(merged) > MERGED:
+                    merged, before = {}, merged
                 return out
 
             _ENCODERS.clear()
-            _ENCODERS[self.key] = word_bpe.Encoder(spec, ids, "<u4", MOST_WORDS, MOST_PIECES)
+            _ENCODERS[self.key] = word_bpe.Encoder(encode_words, encode_text)
         return _ENCODERS[self.key]
 
 
+def _merged(merger: word_bpe.Merger):
+    return lambda pieces: [np.asarray(x, dtype="<u4").tobytes() for x in merger.merge([word_bpe.utf8(p) for p in pieces])]
+
+
 _ENCODERS: dict[str, word_bpe.Encoder] = {}
 keep("lexicon", _ENCODERS)
 
@@ -244,7 +273,8 @@ _PIECES: dict = {}
 def _map(rows: DataFrame, lexicon: Lexicon, source: str, new: dict[str, str], run) -> DataFrame:
     spark = rows.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(lexicon)  # the tokenizer's file and the bounded automaton
+    lexicon.ship(spark)
+    shared = spark.sparkContext.broadcast(lexicon)  # the tokenizer's file
     kept = [c for c in rows.columns if c.lower() not in {n.lower() for n in new}]
     rows = rows.select(*[F.col(f"`{c}`") for c in kept])
     schema = StructType(list(rows.schema))

@@ -18,7 +18,9 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import word_bpe
 from quern.llm.common import (
-    U64, as_bytes, bound_batches, keep, mix64, only, offsets_by_partition, shared_dir, shuffle_partitions, stage,
+    U64, as_bytes, bound_batches, keep, mix64, only, offsets_by_partition, qualified, shared_dir, shuffle_partitions, stage,
 )
 from quern.llm.mph import PerfectHash
 
@@ -114,43 +116,57 @@ class Shard:
         return self.payload[start : start + int(self.lengths[slot])]
 
 
+#: Bytes of one generation of known words in a worker.
+WORD_BYTES = 40 << 20
+
+
 def library_encoder(tokenizer_json: str, width: int):
     """texts (UTF-8, null as empty) -> raw ids, by the tokenizers library without special tokens.
 
-    Where the file's rules are the word-level ones of ``word_bpe``, the library encodes each distinct piece once;
-    else it encodes the whole texts."""
+    Where the file's rules are the word-level ones of ``word_bpe``, the library's model encodes each distinct piece of a chunk once;
+    else the library encodes the whole texts."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
 
     spec, own = word_bpe.load(tokenizer_json), Tokenizer.from_str(tokenizer_json)
+    own.no_truncation()
+    own.no_padding()
+    code = {2: "H", 4: "I"}[width]
+    raw = lambda x: array(code, x.ids).tobytes()
     if not word_bpe.applies(spec):
-        dtype = np.dtype(f"<u{width}")
-
-        def whole(texts: list[bytes | None]) -> list[bytes]:
-            found = own.encode_batch([(t or b"").decode() for t in texts], add_special_tokens=False)
-            return [np.array(x.ids, dtype=dtype).tobytes() for x in found]
-
-        return whole
+        return lambda texts: [raw(own.encode((t or b"").decode(), add_special_tokens=False)) for t in texts]
     bare, letters = Tokenizer(own.model), dict(enumerate(word_bpe.byte_letters()))
-
-    def pieces(words: list[bytes]) -> list[list[int]]:
-        return [x.ids for x in bare.encode_batch_fast([w.decode("latin-1").translate(letters) for w in words], add_special_tokens=False)]
-
-    return word_bpe.Encoder(spec, pieces, f"<u{width}")
+    bare.pre_tokenizer = WhitespaceSplit()  # no letter that stands for a byte is white space
+    # The last id of a piece, and no other, has the mark of a word's end: pieces never hold both signs and letters.
+    final = np.array([x.endswith(word_bpe.WORD_END.encode()) for x in word_bpe.pieces_by_id(spec)])
+
+    def spelled(piece: bytes | str) -> str:
+        text = piece.decode("latin-1") if isinstance(piece, bytes) else piece
+        return text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(letters)
+
+    def pieces(found: list[bytes | str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(found), 5000):
+            part = found[at : at + 5000]
+            made = bare.encode_batch_fast([" ".join(map(spelled, part))], add_special_tokens=False)[0]
+            ids = np.array(made.ids, dtype=f"<u{width}")
+            ends = (np.flatnonzero(final[ids]) + 1) * width
+            if len(ends) != len(part):
+                raise ValueError("a piece has no end or several")
+            text = ids.tobytes()
+            out += [text[i:j] for i, j in pairwise([0, *ends.tolist()])]
+        return out
+
+    split = word_bpe.Splitter(word_bpe.special_tokens(spec))
+    words, _ = word_bpe.by_pieces(split, pieces, f"<u{width}")
+    return word_bpe.Encoder(words, lambda text: raw(own.encode(text.decode(), add_special_tokens=False)), WORD_BYTES)
 
 
 _ENCODERS: dict = {}
 keep("tokens", _ENCODERS)
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """A path with the scheme of the store that Spark finds it in, as ``pyarrow.fs`` reads it."""
-    jvm = spark.sparkContext._jvm
-    own = jvm.org.apache.hadoop.fs.Path(path)
-    full = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(own).toString()
-    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
-
-
 def write_shards(
     docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, key: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS
 ) -> DataFrame:

@@ -93,7 +93,9 @@ class Splitter:
 
 def utf8(piece: bytes | str) -> bytes:
     """The UTF-8 bytes of a piece."""
-    return (piece.decode("latin-1") if isinstance(piece, bytes) else piece).encode()
+    if isinstance(piece, str):
+        return piece.encode()
+    return piece if piece.isascii() else piece.decode("latin-1").encode()
 
 
 class Merger:
@@ -210,67 +212,54 @@ def lowered_words(text: bytes) -> list[bytes]:
 
 
 class _Known(dict):
-    """Ids by word. An unknown word gets an empty place, listed in ``new``, that is filled once it is known."""
+    """Ids by word. An unknown word gets an empty place, listed in ``new``, that is filled once it is known. Words of ``old``, the generation before, move over when they are met."""
 
-    def __init__(self) -> None:
+    def __init__(self, old: dict[bytes, bytes]) -> None:
         super().__init__()
-        self.new: dict[bytes, bytearray] = {}
+        self.old, self.new, self.size = old, {}, 0
 
-    def __missing__(self, word: bytes) -> bytearray:
-        place = self[word] = self.new[word] = bytearray()
+    def __missing__(self, word: bytes) -> bytes | bytearray:
+        place = self.old.get(word)
+        if place is None:
+            place = self.new[word] = bytearray()
+        self[word] = place
         return place
 
 
 class Encoder:
-    """Encodes texts by the white-space words in them, with bounded caches of words and of pieces.
+    """Encodes texts by the white-space words in them; each distinct word of a chunk of texts is encoded once.
 
-    ``encode_pieces`` gives the ids of pieces (UTF-8) as arrays. No piece crosses white space and ASCII letters are
-    lowered first only where that changes nothing (``lowered_words``), so the ids of a text are those of its words in order; a text that may hold a
-    special token is cut as a whole. Caches only save work: they are emptied when full.
+    ``encode_words`` gives the raw ids of whole words (UTF-8). No piece crosses white space and ASCII letters are lowered first only where that
+    changes nothing (``lowered_words``), so the ids of a text are those of its words in order; a text that may hold a special token goes to
+    ``encode_text`` as a whole. Words are kept from chunk to chunk in two generations of ``most_bytes`` each (0: none are kept), which saves work
+    and changes no result: the frequent ones are met again and move on, the others go.
     """
 
-    MOST_WORDS, MOST_PIECES = 1_000_000, 700_000
-    #: Bytes of texts that are looked up together.
-    CHUNK = 4 << 20
-
-    def __init__(self, spec: dict, encode_pieces, dtype: str, most_words: int = MOST_WORDS, most_pieces: int = MOST_PIECES) -> None:
-        self.most_words, self.most_pieces = most_words, most_pieces
-        self.split, self.encode_pieces, self.dtype = Splitter(special_tokens(spec)), encode_pieces, np.dtype(dtype)
-        self.words = _Known()
-        self.pieces: dict[bytes | str, bytes] = {}
-
-    def _learn(self, cut: list[list]) -> None:
-        every = {p for pieces in cut for p in pieces if not isinstance(p, int)}
-        new = list(every.difference(self.pieces))
-        if len(self.pieces) + len(new) > self.most_pieces:
-            self.pieces, new = {}, list(every)
-        ids = self.encode_pieces([utf8(p) for p in new])
-        self.pieces.update(zip(new, [np.asarray(x, dtype=self.dtype).tobytes() for x in ids], strict=True))
-
-    def _joined(self, pieces: list) -> bytes:
-        if len(pieces) == 1 and not isinstance(pieces[0], int):
-            return self.pieces[pieces[0]]
-        return b"".join([self.dtype.type(p).tobytes() if isinstance(p, int) else self.pieces[p] for p in pieces])
+    #: Bytes of texts that are looked up together, and what an entry of the cache takes besides its bytes.
+    CHUNK, ENTRY = 4 << 20, 190
+    #: Longer words are not kept.
+    LONGEST = 64
+
+    def __init__(self, encode_words, encode_text, most_bytes: int = 0) -> None:
+        self.encode_words, self.encode_text, self.most_bytes = encode_words, encode_text, most_bytes
+        self.words = _Known({})
 
     def _chunk(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.words) > self.most_words:
-            self.words = _Known()
-        known, odd, parts = self.words, [], []
+        known, parts = self.words, []
         for t in texts:
-            if b"<|" in t:
-                odd.append(self.split(t.decode()))
-                parts.append(None)
-            else:
-                parts.append(list(map(known.__getitem__, lowered_words(t))))
+            parts.append(None if b"<|" in t else list(map(known.__getitem__, lowered_words(t))))
         new, known.new = known.new, {}
-        cut = [self.split.plain(w.decode()) for w in new]
-        self._learn(cut + odd)
-        joined = self._joined
-        for (w, place), pieces in zip(new.items(), cut, strict=True):
-            place += joined(pieces)
-            known[w] = bytes(place)
-        rest = iter(odd)
-        return [joined(next(rest)) if x is None else b"".join(x) for x in parts]
+        for (word, place), ids in zip(new.items(), self.encode_words(list(new)), strict=True):
+            place += ids
+            if len(word) <= self.LONGEST:
+                known[word] = ids
+                known.size += len(word) + len(ids)
+            else:
+                del known[word]
+        out = [self.encode_text(t) if x is None else b"".join(x) for t, x in zip(texts, parts, strict=True)]
+        if known.size + self.ENTRY * len(known) > self.most_bytes:
+            self.words = _Known(dict(known) if self.most_bytes else {})
+        return out
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text (null: none) in little-endian order."""
@@ -286,6 +275,25 @@ class Encoder:
         return out + self._chunk(part)
 
 
+def by_pieces(split: Splitter, encode_pieces, dtype: str):
+    """(encode_words, encode_text) for ``Encoder`` from a function that gives the raw ids of distinct pieces (Latin-1 bytes, or str)."""
+    special = np.dtype(dtype).type
+
+    def joined(cut: list[list]) -> list[bytes]:
+        every = list({p for pieces in cut for p in pieces if not isinstance(p, int)})
+        known = dict(zip(every, encode_pieces(every), strict=True))
+        return [
+            known[pieces[0]] if len(pieces) == 1 and not isinstance(pieces[0], int)
+            else b"".join([special(p).tobytes() if isinstance(p, int) else known[p] for p in pieces])
+            for pieces in cut
+        ]
+
+    def words(found: list[bytes]) -> list[bytes]:
+        return joined([split.plain(w.decode()) for w in found])
+
+    return words, lambda text: joined([split(text.decode())])[0]
+
+
 def pieces_by_id(spec: dict) -> list[bytes]:
     """The string of every id, in UTF-8, as decoding joins them; a gap in the ids decodes to nothing."""
     strings = {i: s for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}

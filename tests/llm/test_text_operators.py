@@ -181,16 +181,22 @@ def test_lexicon_round_trip(spark, docs, tokenizer):
     assert lexicon.Lexicon.of(docs.limit(0), queries.tokenizer_path()).encoder()([None]) == [b""]
 
 
+def encoder(spec, most_bytes):
+    split = word_bpe.Splitter(word_bpe.special_tokens(spec))
+    return word_bpe.Encoder(*word_bpe.by_pieces(split, lexicon._merged(word_bpe.Merger(spec)), "<u4"), most_bytes)
+
+
 def test_pieces_like_the_library(tokenizer):
     spec = word_bpe.load(open(queries.tokenizer_path(), encoding="utf-8").read())
     rng = random.Random(1)
     bits = list("abcABC  '\n\t.,!09é ÉßªΣσςİǅéſ½²Ⅷ\x85\xa0\x1c­中кД😀́_-…“") + ["'s", "'LL", "<|startoftext|>", " the ", "ation"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 50))) for _ in range(1500)] + ["ab" * 300 + "x", "é" * 500]
     words = sorted({b"the", b"ation", b"abc", "é".encode()})
-    automaton = lexicon.Transducer.from_bytes(lexicon.Transducer.compile(words, word_bpe.Merger(spec).merge(words)).to_bytes())
-    assert [x.tolist() for x in automaton.lookup(words)] == [x.tolist() for x in word_bpe.Merger(spec).merge(words)]
+    merged = word_bpe.Merger(spec).merge(words)
+    automaton = lexicon.Transducer.from_bytes(lexicon.Transducer.compile(words, merged).to_bytes())
+    assert [np.frombuffer(x, "<u4").tolist() for x in automaton.lookup(words)] == [x.tolist() for x in merged]
     assert automaton.lookup([b"th", b"zzz", b""]) == [None] * 3
-    own = word_bpe.Encoder(spec, word_bpe.Merger(spec).merge, "<u4")([t.encode() for t in texts])
+    own = encoder(spec, 1000)([t.encode() for t in texts])
     for t, ids in zip(texts, own, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
@@ -200,10 +206,25 @@ def test_letters_and_marks_like_the_library(tokenizer):
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     texts = [a + chr(m) for a in letters + letters.lower() for m in range(0x300, 0x370)]
     texts += [f"AB {a}\u1dc2{chr(m)}x{a} CD" for a in letters for m in range(0x300, 0x370)]
-    own = word_bpe.Encoder(spec, word_bpe.Merger(spec).merge, "<u4")([t.encode() for t in texts])
+    own = encoder(spec, 1000)([t.encode() for t in texts])
     assert not [t for t, ids in zip(texts, own, strict=True) if np.frombuffer(ids, "<u4").tolist() != tokenizer.encode(t, add_special_tokens=False).ids]
 
 
+def test_whole_texts_of_a_table_like_the_library(spark, tokenizer, monkeypatch):
+    """Every document of a table by both encoders, with caches that turn over often."""
+    path = queries.tokenizer_path()
+    texts = [r.text for r in queries.table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    want = [x.ids for x in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    raw = [None if t is None else t.encode() for t in texts]
+    monkeypatch.setattr(token_store, "WORD_BYTES", 1 << 20)
+    monkeypatch.setattr(lexicon, "MERGED", 500)
+    monkeypatch.setattr(word_bpe.Encoder, "CHUNK", 1 << 16)
+    source = open(path, encoding="utf-8").read()
+    assert [np.frombuffer(x, "<u2").tolist() for x in token_store.library_encoder(source, 2)(raw)] == want
+    own = lexicon.Lexicon(source, sorted({w for t in texts[:50] for w in (t or "").lower().encode().split() if len(w) <= lexicon.LONGEST}))
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encoder()(raw)] == want
+
+
 def test_token_shards(docs, tokenizer):
     files = token_store.write_shards(docs, queries.tokenizer_path(), shard_ids=2000)
     got = sorted(((r.start, r.key, r.n_tokens, r.ids_crc32) for r in token_store.read_documents(files).collect()))
