@@ -23,17 +23,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(own).where("m < x").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
 
 
+#: Edges of one file of a round's table.
+FILE_EDGES = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) with a < b -> (node, root): every node of an edge and the smallest node that it reaches.
 
-    Rounds grow with the logarithm of the longest path; each writes its edges to the shared folder. Every round keeps at
-    most as many edges as it got. The round that changes nothing is the last: by then every node hangs on its root.
+    Rounds grow with the logarithm of the longest path; each writes its edges to the shared folder, in files of about ``FILE_EDGES``. Every round
+    keeps at most as many edges as it got. The round that changes nothing is the last: by then every node hangs on its root.
     """
     edges = stage(edges.where("a < b").distinct(), "edges")
     print_of = [F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.shiftright(F.xxhash64("b", "a"), 20))]
     before = edges.agg(*print_of).first()
     while before[0]:
-        edges = stage(_small_star(_large_star(edges)), "stars")
+        edges = stage(_small_star(_large_star(edges)).coalesce(-(-before[0] // FILE_EDGES)), "stars")
         after = edges.agg(*print_of).first()
         if after == before:
             break

@@ -11,6 +11,7 @@ A pair at the threshold 0.75 shares no band with probability (1 - 0.75**4)**32 =
 Skew: a bucket of n classes is not expanded into n*n pairs. First every bucket's smallest class is compared with its others, and confirmed
 links merge components. What is left of a bucket in several components is then compared across them in blocks (``across``), so
 the components are those of all links; pairs that the links already connect are never compared, and no row stands for a pair.
+A component that fills blocks of its own meets only the blocks of others, so a large group with a few strays costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import U64, as_bytes, bound_batches, keep, mix64, only, shuffle_partitions, stage
@@ -31,8 +32,8 @@ WORDS, HASHES, ROWS, BITS = 5, 128, 4, 4
 BANDS = HASHES // ROWS
 THRESHOLD = 75
 SLACK = 0.20
-#: Members of a bucket that are compared in one task, twice.
-BLOCK = 512
+#: Members of a block and bytes of their full sets, about; two blocks meet in a task.
+BLOCK, BLOCK_BYTES = 512, 24 << 20
 #: Up to so many candidate ids (8 bytes each) are broadcast to pick their documents; more are joined by shuffle.
 BROADCAST_IDS = 400_000
 
@@ -186,19 +187,43 @@ def _matching(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (1 - odd / HASHES - chance) / (1 - chance)
 
 
+def blocks(rest: DataFrame) -> DataFrame:
+    """(key, rep, comp, block, other): each member's block in its bucket and, as a row each, the blocks that it is to meet.
+
+    Members are weighed by ``BLOCK`` and by the bytes of their sets. Components of less than a block share blocks of the bucket, dealt by hash; a larger one has blocks
+    of its own, numbered behind them, which do not meet each other."""
+    weight = F.lit(1.0 / BLOCK) + F.col("n") * 8.0 / BLOCK_BYTES
+    sizes = rest.groupBy("key", "comp").agg(F.sum(weight).alias("weight"))
+    large = F.col("weight") >= 1
+    shared = sizes.groupBy("key").agg(
+        F.greatest(F.ceil(F.sum(F.when(~large, F.col("weight")))).cast("int"), F.lit(0)).alias("shared"),
+        F.sum(F.when(large, F.ceil("weight")).otherwise(0)).cast("int").alias("own"),
+    )
+    shared = shared.withColumn("shared", F.coalesce("shared", F.lit(0)))
+    order = Window.partitionBy("key").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sizes.where(large).withColumn("span", F.ceil("weight").cast("int"))
+    ranges = ranges.select("key", "comp", "span", F.coalesce(F.sum("span").over(order), F.lit(0)).cast("int").alias("before"))
+    rows = rest.join(shared, "key").join(ranges, ["key", "comp"], "left")
+    single = F.col("span").isNull()
+    low = F.when(single, 0).otherwise(F.col("shared") + F.col("before"))
+    rows = rows.withColumn("low", low).withColumn("many", F.coalesce("span", "shared"))
+    rows = rows.withColumn("block", F.col("low") + F.pmod(F.xxhash64("rep"), F.col("many")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("shared") + F.col("own") - 1)
+    others = F.when(single, every).otherwise(F.filter(every, lambda x: (x < F.col("low")) | (x >= F.col("low") + F.col("span"))))
+    return rows.select("key", "rep", "comp", "block", F.explode(others).alias("other"))
+
+
 def across(rest: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): confirmed links between components in the buckets ``rest`` (key, rep, comp, size), enough to join whatever is linked.
+    """(a, b): confirmed links, by component, between members of the buckets ``rest`` (key, rep, comp, n), enough to join whatever is linked.
 
-    Buckets of more than ``BLOCK`` members are dealt over pairs of blocks. Two steps, each with a row per member and block pair and none per pair:
+    Buckets are dealt over pairs of blocks. Two steps, each with a row per member and block pair and none per pair of members:
     estimates on packed signatures list a member's likely partners (in the first bucket only that the two share); then the members
     that are in such a list come with their full sets, and pairs that are not yet joined in the task are confirmed.
     """
-    spark = rest.sparkSession
-    parts = shuffle_partitions(spark)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = rest.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp")
-    dealt = stage(dealt.join(sketches, "rep").select("key", "i", "j", "block", "rep", "comp", "sig", "bands").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j"), "minhash-rest")
+    parts = shuffle_partitions(rest.sparkSession)
+    dealt = blocks(rest).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp")
+    dealt = dealt.join(sketches, "rep").select("key", "i", "j", "block", "rep", "comp", "sig", "bands")
+    dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         rows = (row for batch in batches for row in batch.to_pylist())
@@ -235,7 +260,8 @@ def across(rest: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int
     def confirm_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, members in groups(batches):
             grams = {m["rep"]: np.frombuffer(m["grams"], "<u8") for m in members}
-            roots = {m["rep"]: m["comp"] for m in members} | {m["comp"]: m["comp"] for m in members}
+            own = {m["rep"]: m["comp"] for m in members}
+            roots = {c: c for c in own.values()}
 
             def root(x: int, roots: dict = roots) -> int:
                 while roots[x] != x:
@@ -246,10 +272,10 @@ def across(rest: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int
             found = []
             for m in members:
                 for other in np.frombuffer(m["partners"], "<i8").tolist():
-                    x, y = root(m["rep"]), root(other)
+                    x, y = root(m["comp"]), root(own[other])
                     if x != y and similar(grams[m["rep"]], grams[other], threshold):
                         roots[max(x, y)] = min(x, y)
-                        found.append(sorted((m["rep"], other)))
+                        found.append((min(x, y), max(x, y)))
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -272,14 +298,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     rows = stage(signatures(pairs), "minhash")
     live = rows.where("doc IS NOT NULL AND n > 0")
-    classes = live.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = live.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = stage(classes, "minhash-classes")
     buckets = classes.select("rep", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"))
     members = stage(
         buckets.join(shared.where("least < most").select("key"), "key").select("key", "rep").distinct(), "minhash-buckets"
     )
-    wanted = stage(members.select(F.col("rep").alias("doc")).distinct(), "minhash-wanted")
+    wanted = members.select(F.col("rep").alias("doc")).distinct()
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     sets = stage(sets_of(pairs.join(wanted, "doc", "left_semi").select("doc", "text")).distinct(), "minhash-sets")
@@ -294,19 +320,18 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     # The smallest class of each bucket is proposed to the others of it.
     hubs = members.groupBy("key").agg(F.min("rep").alias("hub"))
     proposed = members.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stage(confirm(stage(likely(proposed), "minhash-close"), sets, threshold), "minhash-links")
-    known = stage(components(links), "minhash-components")
+    known = components(confirm(likely(proposed), sets, threshold))
     # Then whatever of a bucket is in several components is compared across them.
     state = members.join(known, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"))
     state = stage(state, "minhash-state")
-    several = state.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2")
-    rest = state.join(stage(several.select("key", "size"), "minhash-open"), "key")
-    late = across(rest, classes.select("rep", "sig", "bands"), sets, threshold)
-    links = links.unionByName(late)
-    known = stage(components(links), "minhash-all-components")
-    named = classes.select("h1", "h2", "rep")
-    named = named.join(known, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("rep"))
-    named = stage(named, "minhash-named")
+    several = state.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
+    rest = state.join(several, "key", "left_semi").join(classes.select("rep", "n"), "rep")
+    late = components(across(stage(rest, "minhash-rest"), classes.select("rep", "sig", "bands"), sets, threshold))
+    late = late.select(F.col("node").alias("from"), F.col("root").alias("to"))
+    # The second components are those of the first ones, so roots of roots are final.
+    named = classes.select("h1", "h2", "rep").join(known, F.col("rep") == F.col("node"), "left")
+    named = named.select("h1", "h2", F.coalesce("root", "rep").alias("first")).join(late, F.col("first") == F.col("from"), "left")
+    named = named.select("h1", "h2", F.coalesce("to", "first").alias("rep"))
     joined = rows.select("doc", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc"))
     return joined.select(
