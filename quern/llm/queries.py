@@ -55,9 +55,9 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), lines="n_lines", dropped="n_dropped")
     kept = F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256)
-    return rows.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
+    return rows.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
 LINE_SQL = r"""

@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quern.llm import langid, lexicon, line_dedup, minhash, mixing, ordinal_quality, queries, token_store, word_bpe
@@ -87,14 +88,16 @@ def test_near_duplicates_of_awkward_rows(docs):
 
 
 def test_lines_of_awkward_rows(docs):
-    got = {(r.doc_id, r.text): r for r in line_dedup.dedup_lines(docs).collect()}
+    got = {(r.doc_id, r.text): r for r in line_dedup.dedup_lines(docs.withColumn("_gone", F.lit(1)), lines="_n_lines", dropped="size").collect()}
     texts = sorted((i, t) for i, t in got if i in (9, 10))
     assert texts == [(9, AWKWARD[9][1]), (10, "short")] and (3, None) in got and (4, "") in got
-    assert [r._n_lines for k, r in got.items() if k[0] == 9] == [5] and all(r.kept == 2 for r in got.values())
+    assert [(r._n_lines, r["size"]) for k, r in got.items() if k[0] in (9, 10)] == [(5, 0), (2, 1)] and all(r.kept == 2 and r._gone == 1 for r in got.values())
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
-def test_line_query_against_sql(spark):
+@pytest.mark.parametrize("salt_bytes", [48 << 20, 64])
+def test_line_query_against_sql(spark, monkeypatch, salt_bytes):
+    monkeypatch.setattr(line_dedup, "SALT_BYTES", salt_bytes)
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
