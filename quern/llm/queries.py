@@ -23,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.find(docs, pii.train(docs))
+    found = pii.find(docs, pii.train(docs), base="base", spans="found")
     joined = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
-    of = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
-    counts = [of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined("_base"), 256).alias("base_sha256"), joined("_spans").alias("spans"))
+    of = lambda c, kind: F.size(F.filter(c, lambda s: s["kind"] == kind)).cast("long")
+    counts = [of("base", kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("found").alias("spans"),
+        of("found", "secret").alias("n_secret"), F.size("found").cast("long").alias("n_spans"), (F.size("found") > 0).alias("has_pii"),
+    )
 
 
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
