@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import hidden
+from quern.llm.common import hidden, shuffle_partitions
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -172,21 +172,30 @@ BITS = (
 )
 
 
-def _bits(kind: str, x: Column) -> list[Column]:
-    """The yes/no features of a candidate, in the order of ``BITS``."""
-    text, left = x["text"], x["left"]
-    number = _digits(text)
-    digits, size = F.length(number), F.length(text)
-    return [
-        digits.between(13, 19), digits.between(9, 12), luhn(number) & (digits > 0), text.rlike(r"(?:\.|[\[({<] ?(?:dot|DOT|\.) ?[\])}>] ?| (?:dot|DOT) )[A-Za-z]{2,6}$"),
-        text.contains(" "), text.contains("."), text.contains("-"), text.startswith("("), ~left.rlike(r"[A-Za-z0-9/._-]$"), ~x["right"].rlike(r"[A-Za-z0-9/_-]"),
-        left.rlike(_CUES), left.rlike(_AGAINST), left.rlike(_NAMED), text.rlike("[A-Z]"), text.rlike("[a-z]"), text.rlike("[0-9]"), text.rlike("^[0-9A-Fa-f]+$"),
-        F.size(F.array_distinct(F.split(F.left(text, F.lit(64)), ""))) >= 10, size >= 20, size >= 32, text.rlike(r"^(?:19|20)[0-9]{2}\b"),
-        text.rlike(r"^(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2})\b"),
-        text.rlike("^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"),
-        text.contains("::"), F.size(F.split(text, r"[ .:/_-]+")) >= 4, text.rlike(r"[a-z]{3,}[-_/][a-z]{3,}"), left.rlike(r"""[:=]\s*["']?$"""),
-        *[F.lit(kind == k) for k in KINDS],
+def _quoted(text: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _bits(kind: str) -> str:
+    """SQL of the array of yes/no features (0 or 1) of a candidate ``x``, in the order of ``BITS``. As SQL it is one expression to parse, where columns would be hundreds of calls."""
+    text, left, number = "x.text", "x.left", "regexp_replace(x.text, '[^0-9]', '')"
+    like = lambda what, pattern: f"{what} RLIKE {_quoted(pattern)}"
+    doubled = "element_at(array(0, 2, 4, 6, 8, 1, 3, 5, 7, 9), CAST(d AS INT) + 1)"
+    checked = f"aggregate(transform(reverse(filter(split({number}, ''), d -> d <> '')), (d, i) -> IF(i % 2 = 0, CAST(d AS INT), {doubled})), 0, (a, d) -> a + d) % 10 = 0"
+    asked = [
+        f"length({number}) BETWEEN 13 AND 19", f"length({number}) BETWEEN 9 AND 12", f"{number} <> '' AND {checked}",
+        like(text, r"(?:\.|[\[({<] ?(?:dot|DOT|\.) ?[\])}>] ?| (?:dot|DOT) )[A-Za-z]{2,6}$"),
+        f"contains({text}, ' ')", f"contains({text}, '.')", f"contains({text}, '-')", f"startswith({text}, '(')",
+        f"NOT {like(left, r'[A-Za-z0-9/._-]$')}", f"NOT {like('x.right', r'[A-Za-z0-9/_-]')}",
+        like(left, _CUES), like(left, _AGAINST), like(left, _NAMED), like(text, "[A-Z]"), like(text, "[a-z]"), like(text, "[0-9]"), like(text, "^[0-9A-Fa-f]+$"),
+        f"size(array_distinct(split(left({text}, 64), ''))) >= 10", f"length({text}) >= 20", f"length({text}) >= 32", like(text, r"^(?:19|20)[0-9]{2}\b"),
+        like(text, r"^(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}|[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2})\b"),
+        like(text, "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"),
+        f"contains({text}, '::')", f"size(split({text}, '[ .:/_-]+')) >= 4", like(text, r"[a-z]{3,}[-_/][a-z]{3,}"), like(left, r"""[:=]\s*["']?$"""),
+        *[str(kind == k).lower() for k in KINDS],
     ]
+    return f"array({', '.join(f'IF({x}, 1, 0)' for x in asked)})"
 
 
 def _candidates(docs: DataFrame, text: str, base: bool) -> tuple[DataFrame, list[str], list[str]]:
@@ -210,16 +219,30 @@ class Trees:
     recall: dict[str, float] = field(default_factory=dict)
     precision: dict[str, float] = field(default_factory=dict)
 
+    def flat(self) -> list[tuple[list[int], list[float]]]:
+        """Each tree as complete: the bits asked in breadth-first order and the values of the leaves; above a leaf that comes early any bit will do."""
+        out = []
+        for tree in self.trees:
+            level, asked = [tree], []
+            for _ in range(DEPTH):
+                asked += [t[0] if isinstance(t, tuple) else 0 for t in level]
+                level = [x for t in level for x in (t[1:] if isinstance(t, tuple) else (t, t))]
+            out.append((asked, [float(x) for x in level]))
+        return out
+
     def margin(self, bits: Column) -> Column:
-        def column(tree) -> Column:
-            if not isinstance(tree, tuple):
-                return F.lit(float(tree))
-            return F.when(bits[tree[0]] == 1, column(tree[2])).otherwise(column(tree[1]))
+        """The trees are data in the expression, walked level by level, so the plan stays small."""
+        flat = self.flat()
+        if not flat:
+            return F.lit(float(self.start))
+        trees = F.from_json(F.lit(json.dumps([{"asked": a, "values": v} for a, v in flat])), "array<struct<asked:array<int>,values:array<double>>>")
+        inner = 2**DEPTH - 1
 
-        total = F.lit(float(self.start))
-        for tree in self.trees:
-            total = total + column(tree)
-        return total
+        def walk(total: Column, tree: Column) -> Column:
+            node = F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), F.lit(0), lambda at, _: 2 * at + 1 + F.get(bits, F.get(tree["asked"], at)))
+            return total + F.get(tree["values"], node - inner)
+
+        return F.aggregate(trees, F.lit(float(self.start)), walk)
 
     def probability(self, bits: Column) -> Column:
         return 1 / (1 + F.exp(-self.margin(bits)))
@@ -346,21 +369,17 @@ def train(docs: DataFrame, text: str = "text") -> Trees:
     rows = docs.where(F.length(text) > 0).select(F.substring(F.col(text), 1, CARRIER_CHARS).alias("c"), F.xxhash64(F.col("doc_id"), F.lit(5)).alias("h"))
     carriers = [r.c for r in rows.orderBy("h", "c").limit(CARRIERS).collect()]
     form = "array<struct<half:int,text:string,kind:string,start:int,end:int,good:boolean>>"
-    texts = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(planted(carriers))), form)))
+    texts = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(planted(carriers))), form))).repartition(shuffle_partitions(spark))
     found, _, names = _candidates(texts.withColumnsRenamed({c: f"is_{c}" for c in ("kind", "start", "end", "good")}), "text", False)
 
-    def described(kind: str):
-        def one(x: Column) -> Column:
-            shared = F.least(x["end"], F.col("is_end")) - F.greatest(x["start"], F.col("is_start"))
-            length = F.greatest(x["end"] - x["start"], F.col("is_end") - F.col("is_start"))
-            good = F.col("is_good") & (F.col("is_kind") == kind) & (shared >= 0.85 * length)
-            # What lies beside the planted item is not known.
-            return F.when(shared > 0, F.struct(F.lit(kind).alias("kind"), good.alias("good"), _bit_array(kind, x).alias("bits")))
-
-        return one
-
-    each = [F.transform(F.col(n), described(g[0])) for n, g in zip(names, GENERATORS, strict=True)]
-    seen = found.select("half", F.explode(F.concat(*each)).alias("c")).where("c IS NOT NULL").select("half", "c.kind", "c.good", "c.bits")
+    shared = "(least(x.`end`, is_end) - greatest(x.start, is_start))"
+    length = "greatest(x.`end` - x.start, is_end - is_start)"
+    # What lies beside the planted item is not known.
+    each = [
+        F.expr(f"transform(filter({n}, x -> {shared} > 0), x -> struct('{g[0]}' AS kind, is_good AND is_kind = '{g[0]}' AND {shared} >= 0.85 * {length} AS good, {_bits(g[0])} AS bits))")
+        for n, g in zip(names, GENERATORS, strict=True)
+    ]
+    seen = found.select("half", F.explode(F.concat(*each)).alias("c")).select("half", "c.kind", "c.good", "c.bits")
     counts = seen.groupBy("half", "kind", "bits").agg(F.count_if("good").alias("yes"), F.count_if(~F.col("good")).alias("no")).collect()
     counts.sort(key=lambda r: (r.half, r.kind, r.bits))
     fit = [r for r in counts if r.half == 0]
@@ -381,18 +400,10 @@ def train(docs: DataFrame, text: str = "text") -> Trees:
     return model
 
 
-def _bit_array(kind: str, x: Column) -> Column:
-    return F.array(*[F.coalesce(b, F.lit(False)).cast("int") for b in _bits(kind, x)])
-
-
 def _passing(kind: str):
     return lambda x: passes(kind, x["text"])
 
 
-def _described(kind: str):
-    return lambda x: F.struct(x.alias("x"), _bit_array(kind, x).alias("bits"))
-
-
 def _selected(kind: str, model: Trees):
     return lambda c: model.probability(c["bits"]) >= model.thresholds[kind]
 
@@ -415,7 +426,8 @@ def find(docs: DataFrame, model: Trees, text: str = "text", base: str = "_base",
         certain.append(F.transform(F.filter(F.col(name), _passing(kind)), shape(kind)))
     for (kind, _, _), name in zip(GENERATORS, more, strict=True):
         if kind in model.thresholds:
-            chosen.append(F.transform(F.filter(F.transform(F.col(name), _described(kind)), _selected(kind, model)), _unwrapped(shape(kind))))
+            known = F.expr(f"transform({name}, x -> struct(x AS x, {_bits(kind)} AS bits))")
+            chosen.append(F.transform(F.filter(known, _selected(kind, model)), _unwrapped(shape(kind))))
     rows = rows.select(*names, F.concat(*certain).alias(own[0]), F.concat(F.array().cast("array<struct<k:int,start:int,end:int,text:string>>"), *chosen).alias(own[1]))
     rows = rows.select(*names, own[0], F.array_sort(F.concat(own[0], own[1])).alias(own[1]))
     # Of equal spans the first stays.
