@@ -93,6 +93,19 @@ def running_headers(docs: DataFrame, least: int = 3) -> DataFrame:
     return able.groupBy("doc_id", "line").agg(F.count("*").alias("times")).where(F.col("times") >= least)
 
 
+def line_places(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, line, position, beside_number): every line with its character position in the text and whether the nearest line before or after it that is
+    not empty is a page number. Windows are over a document's own lines."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    order = Window.partitionBy("doc_id").orderBy("n")
+    upto = F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    full = F.when(F.trim("line") != "", F.trim("line"))
+    before = F.last(full, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(full, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    number = lambda c: F.coalesce(c.rlike(r"^\d{1,4}$"), F.lit(False))
+    return lines.select("doc_id", "n", "line", upto.alias("position"), (number(before) | number(after)).alias("beside_number"))
+
+
 def language_vote(docs: DataFrame, lexicon: DataFrame, least: float = 0.3) -> DataFrame:
     """(doc_id, lang, share): the language whose frequent words cover most of a text's tokens; null below ``least``. Ties by name.
 
@@ -119,6 +132,31 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     from quern.operators.search import dense, top
 
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    scored = dense(asked, vectors.select("vec_id", F.col("embedding").alias("vec"))).where("query_id <> vec_id")
+    scored = dense(asked, vectors.select("vec_id", F.col("embedding").alias("vec")), k=k + 1).where("query_id <> vec_id")
     ranked = top(scored, k, ("vec_id",))
     return ranked.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("other"), "score", "rank")
+
+
+#: Parts of the range of values that a rank is looked for in.
+PARTS = 1024
+
+
+def medians(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, median, upper_median): the mean of the middle two values, and the upper one of them; null values are left out.
+
+    A histogram over each group's range says which of its ``PARTS`` parts hold the two ranks; only the distinct values of those parts are counted and put in order."""
+    rows = rows.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_v"))
+    ends = rows.groupBy(by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    part = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * (PARTS - 1))).otherwise(0).cast("int")
+    placed = rows.join(ends, by).withColumn("_part", part)
+    sizes = placed.groupBy(by, "_part").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    running = Window.partitionBy(by).orderBy("_part")
+    upto = sizes.withColumn("_to", F.sum("_c").over(running))
+    first, second = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    holds = lambda k: (F.col("_to") > k) & (F.col("_to") - F.col("_c") <= k)
+    wanted = upto.where(holds(first) | holds(second)).select(by, "_part", (F.col("_to") - F.col("_c")).alias("_before"))
+    values = placed.join(wanted, [by, "_part"]).groupBy(by, "_part", "_before", "_n", "_v").agg(F.count("*").alias("_c"))
+    inside = F.sum("_c").over(Window.partitionBy(by, "_part").orderBy("_v"))
+    values = values.withColumn("_to", F.col("_before") + inside)
+    out = values.groupBy(by).agg(F.max(F.when(holds(first), F.col("_v"))).alias("_a"), F.max(F.when(holds(second), F.col("_v"))).alias("upper_median"))
+    return out.select(by, ((F.col("_a") + F.col("upper_median")) / 2).alias("median"), "upper_median")

@@ -3,14 +3,18 @@ so that a sample is the same in every run and engine."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 
-
-#: Terms up to which their keys are broadcast.
+#: Terms of one block.
 MOST_TERMS = 20_000
+WORDS = re.compile(r"\w+")
 
 
 def shuffled(*parts: Column | str, seed: str = "0") -> Column:
@@ -60,19 +64,23 @@ def languages(topics: DataFrame) -> DataFrame:
 
 
 def outcome(status: Column, grade: Column) -> Column:
-    """Outcome of a defence: N not passed, U recognised, O other, null without a grade."""
-    return (
-        F.when(status == "N", "N").when(grade.startswith("Neprospěl") | grade.startswith("Nedostatečně"), "N")
-        .when(grade.startswith("Uznáno"), "U").when(grade.isNotNull() & (grade != ""), "O")
-    )
+    """Outcome of a defence: a status that is there holds; else by the grade N not passed, U recognised, O any other; null without both."""
+    failed = grade.startswith("Neprospěl") | grade.startswith("Nedostatečně")
+    by_grade = F.when(failed, "N").when(grade == "Uznáno", "U").when(grade != "", "O")
+    return F.coalesce(F.nullif(status, F.lit("")), by_grade)
+
+
+def first_author(author: Column) -> Column:
+    """An author's name without white space and commas at its end; old records end with a comma."""
+    return F.regexp_replace(T.strip(F.coalesce(author, F.lit(""))), r"(?U)[,\s]+$", "")
 
 
 def same_title_groups(records: DataFrame, title: str = "title", author: str = "author") -> DataFrame:
     """(grp, doc_id, ...) of records that share title and author by their equality keys; groups of one and blank keys are left out.
 
     Sizes are counted by key with partial sums and joined back, so a frequent key is not gathered in one task."""
-    keyed = records.withColumn("grp", F.concat_ws("|", T.equality_key(F.col(title)), T.equality_key(F.col(author))))
-    keyed = keyed.where((T.equality_key(F.col(title)) != "") & (T.equality_key(F.col(author)) != ""))
+    keyed = records.withColumn("_t", T.equality_key(F.col(title))).withColumn("_a", T.equality_key(first_author(F.col(author))))
+    keyed = keyed.where("_t <> '' AND _a <> ''").withColumn("grp", F.concat_ws("|", "_t", "_a")).drop("_t", "_a")
     sizes = keyed.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
     return keyed.join(sizes, "grp")
 
@@ -83,11 +91,20 @@ def representative(members: DataFrame, group: str = "grp") -> DataFrame:
     return members.where("usable").groupBy(group).agg(F.max_by("doc_id", rank).alias("representative"))
 
 
+#: Fixed value: the type of a rigorous thesis, which belongs to the master's thesis that it grew from.
+RIGOROUS = "rigorózní práce"
+
+
 def same_work(members: DataFrame, group: str = "grp") -> DataFrame:
-    """(grp, same_work, shape): one type besides the rigorous kind means one work."""
-    kind = F.lower("thesis_type")
-    other = F.countDistinct(F.when(kind != "rigorous", kind))
-    return members.groupBy(group).agg((other <= 1).alias("same_work"), F.array_join(F.array_sort(F.collect_set(kind)), "+").alias("shape"))
+    """(grp, same_work, shape): at most one type besides the rigorous kind means one work. A null type is a type of its own.
+
+    ``shape``: recognized if any outcome is U, repeated defence if there is one type, else rigorous thesis."""
+    kind = F.coalesce(F.nullif(F.lower("thesis_type"), F.lit("")), F.lit("\0"))
+    found = members.groupBy(group).agg(
+        F.countDistinct(F.when(kind != RIGOROUS, kind)).alias("others"), F.countDistinct(kind).alias("kinds"), F.max(F.coalesce(F.col("outcome") == "U", F.lit(False))).alias("u")
+    )
+    shape = F.when(F.col("u"), "recognized").when(F.col("kinds") == 1, "repeated defence").otherwise("rigorous thesis")
+    return found.select(group, (F.col("others") <= 1).alias("same_work"), shape.alias("shape"))
 
 
 def stratified(judged: DataFrame, size: int, grades: tuple[int, ...] = (1, 0, 2), seed: str = "0") -> DataFrame:
@@ -132,28 +149,56 @@ def quota(rows: DataFrame, quotas: dict[str, int], lang: str = "lang", by: str =
 
 
 def plan_order(rows: DataFrame, first: DataFrame, seed: str = "0") -> DataFrame:
-    """Rows with ``pos``: a priority list first, then all others in a fixed random order, so that any prefix is a sample."""
-    joined = rows.join(first, "doc_id", "left")
-    order = Window.orderBy(F.col("priority").asc_nulls_last(), shuffled("doc_id", seed=seed), "doc_id")
-    return joined.withColumn("pos", F.row_number().over(order)).drop("priority")
+    """Rows with ``pos``: a priority list (doc_id, priority) first, then all others in a fixed random order, so that any prefix is a sample.
+
+    The random key is a hash, so its first digits deal the others evenly over 4,096 buckets; a bucket is numbered for itself and shifted by the sizes of
+    those before it (at most 4,096 counts). Only the priority list is ordered in one task."""
+    joined = rows.join(first, "doc_id", "left").withColumn("_key", shuffled("doc_id", seed=seed))
+    head, rest = joined.where("priority IS NOT NULL"), joined.where("priority IS NULL").withColumn("_bucket", F.substring("_key", 1, 3))
+    head = head.withColumn("pos", F.row_number().over(Window.orderBy("priority", "_key", "doc_id")).cast("long"))
+    sizes = rest.groupBy("_bucket").agg(F.count("*").alias("n")).unionByName(head.select(F.lit("").alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("n")))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select("_bucket", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", "doc_id"))
+    rest = rest.withColumn("_n", own).join(F.broadcast(shifts), "_bucket").withColumn("pos", F.col("_before") + F.col("_n"))
+    return head.drop("priority", "_key").unionByName(rest.select(*rows.columns, "pos"))
+
+
+def _holding(shared):
+    """A pandas UDF: the terms of a broadcast block that a text holds."""
+
+    def held(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in texts:
+            out = []
+            for text in series:
+                plain = T._typed(text or "")
+                tokens = set(WORDS.findall(plain))
+                keys = tokens & shared.value.keys()
+                out.append([term for k in keys for term, typed, words in shared.value[k] if words <= tokens and typed in plain])
+            yield pd.Series(out)
+
+    return F.pandas_udf(held, "array<string>")
 
 
 def term_holders(terms: DataFrame, docs: DataFrame) -> DataFrame:
-    """(term, doc_id): documents that hold a term: its longest word among their tokens, and the term itself in the squeezed text, so that
-    a text is not compared with every term."""
-    words = T.tokens(F.col("term"))
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = terms.select("term", T.typed(F.col("term")).alias("_typed"), longest.alias("_key")).where("_key IS NOT NULL")
-    own = F.array_distinct(T.tokens(F.col("text")))
-    if asked.count() <= MOST_TERMS:
-        # The keys are one bounded row: a text is only repeated for the terms whose key it has.
-        keys = F.broadcast(asked.agg(F.collect_set("_key").alias("_keys")))
-        rows = docs.crossJoin(keys).select("doc_id", "text", F.explode(F.array_intersect(own, "_keys")).alias("_key"))
-        hits = rows.join(F.broadcast(asked), "_key")
-    else:
-        # First the ids alone, then the texts of those documents that have a key.
-        hits = docs.select("doc_id", F.explode(own).alias("_key")).join(asked, "_key").join(docs.select("doc_id", "text"), "doc_id")
-    return hits.where(F.contains(T.typed(F.col("text")), F.col("_typed"))).select("term", "doc_id").distinct()
+    """(term, doc_id): documents that hold a term: all its words among their tokens, and the term itself in the squeezed text.
+
+    Terms are a stated set: they are shipped in blocks of at most ``MOST_TERMS``, and each document's text is read once for a block, in one Arrow pass. A text looks up
+    its own tokens among the terms' longest words, so it is not compared with every term."""
+    spark = terms.sparkSession
+    asked = terms.select("term").where("term IS NOT NULL").distinct()
+    blocks = max(1, -(-asked.count() // MOST_TERMS))
+    asked, found = asked.withColumn("_block", F.pmod(F.xxhash64("term"), F.lit(blocks))), None
+    for block in range(blocks):
+        by_key: dict[str, list[tuple]] = {}
+        for (term,) in asked.where(F.col("_block") == block).select("term").collect():
+            plain = T._typed(term)
+            if words := WORDS.findall(plain):
+                by_key.setdefault(max(words, key=len), []).append((term, plain, frozenset(words)))
+        held = _holding(spark.sparkContext.broadcast(by_key))
+        rows = docs.select("doc_id", F.explode(held("text")).alias("term")).select("term", "doc_id").distinct()
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def choose_terms(candidates: DataFrame, holders: DataFrame, most: int) -> DataFrame:

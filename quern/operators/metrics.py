@@ -43,6 +43,50 @@ def per_query(queries: DataFrame, qrels: DataFrame, run: DataFrame) -> DataFrame
     )
 
 
+def by_type(queries: DataFrame, values: DataFrame) -> DataFrame:
+    """(query_id, metric, value): of each query the metrics that its type is scored by: known items and topics have different ones."""
+    kinds = queries.select("query_id", F.col("type").isin(*KNOWN_ITEM).alias("known"))
+    rows = values.join(kinds, "query_id")
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(m in KNOWN_METRICS).alias("of_known")) for m in (*KNOWN_METRICS, *TOPIC_METRICS)])
+    return rows.select("query_id", "known", F.inline(pairs)).where("known = of_known").select("query_id", "metric", "value")
+
+
+def judged_topics(queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """Topics with a judgment."""
+    return queries.where(~F.col("type").isin(*KNOWN_ITEM)).join(qrels.select("query_id"), "query_id", "left_semi")
+
+
+def comparison(queries: DataFrame, qrels: DataFrame, values: DataFrame, baseline: DataFrame, permutations: int = 10_000, level: float = 0.05) -> DataFrame:
+    """(metric, subset, n, mean, baseline, p, significant): a setup against the baseline on the four subsets that a comparison marks. An undefined value counts as 0; an
+    empty subset has no row. One pass flips all four series together: a query's sign in a permutation is a hash of both."""
+    known = queries.where(F.col("type").isin(*KNOWN_ITEM))
+    subsets = {
+        ("mrr_10", "known"): known, ("success_10", "known"): known, ("success_10", "cross"): known.where(~F.col("lang").eqNullSafe(F.col("target_lang"))),
+        ("ndcg_10", "topics"): judged_topics(queries, qrels),
+    }
+    parts = None
+    for (metric, subset), ids in subsets.items():
+        a = values.select("query_id", F.coalesce(F.col(metric), F.lit(0.0)).alias("a")).join(ids.select("query_id"), "query_id", "left_semi")
+        b = baseline.select("query_id", F.coalesce(F.col(metric), F.lit(0.0)).alias("b"))
+        part = a.join(b, "query_id").select(F.lit(metric).alias("metric"), F.lit(subset).alias("subset"), "query_id", "a", "b", (F.col("a") - F.col("b")).alias("d"))
+        parts = part if parts is None else parts.unionByName(part)
+    stats = parts.groupBy("metric", "subset").agg(F.count("*").alias("n"), F.avg("a").alias("mean"), F.avg("b").alias("baseline"), F.abs(F.sum("d")).alias("total"))
+    sign = F.md5(F.concat_ws(":", F.lit(0), F.col("perm"), F.col("query_id").cast("string")).cast("binary"))
+    flips = parts.where("d <> 0").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    sums = flips.groupBy("metric", "subset", "perm").agg(F.sum(F.when(F.substring(sign, 1, 1) < "8", F.col("d")).otherwise(-F.col("d"))).alias("s"))
+    extreme = sums.join(stats, ["metric", "subset"]).groupBy("metric", "subset").agg(F.count_if(F.abs("s") >= F.col("total") - 1e-9).alias("extreme"))
+    # Without any difference every flip is as extreme.
+    p = (F.coalesce("extreme", F.lit(permutations)) + 1) / float(permutations + 1)
+    rows = stats.join(extreme, ["metric", "subset"], "left")
+    return rows.select("metric", "subset", "n", F.round("mean", 4).alias("mean"), F.round("baseline", 4).alias("baseline"), F.round(p, 6).alias("p"), (p < level).alias("significant"))
+
+
+def kept_results(stored: DataFrame, new: DataFrame, key: str, *metrics: str) -> DataFrame:
+    """Results of setups: a new value replaces the stored one, and a metric that was not scored now keeps what it had."""
+    old = stored.select(key, *[F.col(m).alias(f"_{m}") for m in metrics])
+    return new.join(old, key, "full").select(key, *[F.coalesce(m, f"_{m}").alias(m) for m in metrics])
+
+
 def breakdowns(queries: DataFrame, values: DataFrame) -> DataFrame:
     """Means of the known-item metrics over all, cross-lingual, same-language, by type and by pair of languages: (part, name, queries, metrics)."""
     rows = queries.where(F.col("type").isin(*KNOWN_ITEM)).join(values, "query_id")

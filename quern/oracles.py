@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 PARTS = {
-    "q": """SELECT item_id AS query_id, substr(text, 1, 120) AS text, item_id // 2 AS grp, CASE WHEN item_id % 2 = 0 THEN 'cs' ELSE 'en' END AS lang,
+    "q": """SELECT item_id AS query_id, text, item_id // 2 AS grp, CASE WHEN item_id % 2 = 0 THEN 'cs' ELSE 'en' END AS lang,
   CASE WHEN item_id % 3 = 0 THEN 'en' ELSE 'cs' END AS target_lang, (['title','about','passage','exact','topic'])[((item_id // 2) % 5 + 1)::INT] AS type FROM benchmark""",
     "qrels": """SELECT b.item_id AS query_id, l.doc_id, l.quality + (1 - l.toxic) * l.quality AS grade FROM benchmark b JOIN labels l ON l.doc_id % 13 = b.item_id % 13""",
     "sents": r"""SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
@@ -61,6 +61,11 @@ PARTS = {
     "known": """SELECT v.*, q.type, CASE WHEN q.lang = q.target_lang THEN 'same_language' ELSE 'cross_lingual' END AS crossing, q.lang || '->' || q.target_lang AS pair
   FROM values_ v JOIN q USING (query_id) WHERE q.type <> 'topic'""",
     "pairs_ab": "SELECT query_id, mrr_10 AS a, success_10 AS b FROM values_",
+    "meta_rows": """SELECT doc_id, lang, source || ' ' || doc_id AS t1, CASE WHEN doc_id % 2 = 0 THEN lang || ' ' || n_chars END AS t2 FROM documents""",
+    "meta_chunks": """SELECT * FROM (SELECT doc_id, -1 AS ord, concat_ws(chr(10), CASE WHEN lang <> 'en' THEN t1 END, CASE WHEN lang = 'en' THEN t2 END, CASE WHEN doc_id % 3 = 0 THEN 'k1, k2' END) AS text FROM meta_rows
+  UNION ALL SELECT doc_id, -2, concat_ws(chr(10), CASE WHEN lang = 'en' THEN t1 END, CASE WHEN lang <> 'en' THEN t2 END, CASE WHEN doc_id % 5 = 0 THEN 'an abstract' END) FROM meta_rows) WHERE text <> ''""",
+    "member_rows": """SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN (['diplomová práce', 'rigorózní práce', 'bakalářská práce'])[(doc_id // 7) % 3 + 1] END AS thesis_type,
+  CASE WHEN doc_id % 4 = 1 THEN CASE WHEN doc_id % 3 = 0 THEN 'U' ELSE 'N' END WHEN doc_id % 7 <> 3 THEN (['O', 'N', 'U', 'O', 'N'])[doc_id % 5 + 1] END AS outcome, (2000 + doc_id % 20)::VARCHAR AS accepted, 'Práce č. ' || doc_id // 21 AS title, 'Novák, Jan ' || doc_id % 2 AS author FROM documents""",
     "judged": "SELECT doc_id, quality + (1 - toxic) * quality AS a, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE quality * 2 - toxic END AS b FROM labels",
     "sample_key": "SELECT doc_id, source, lang, n_chars, md5('0:' || doc_id::VARCHAR) AS k FROM documents",
     "vec": "SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings",
@@ -92,7 +97,6 @@ def sql(body: str) -> str:
     return (f"WITH {', '.join(f'{n} AS MATERIALIZED ({PARTS[n]})' for n in need)} " if need else "") + body
 
 
-DOC_KEY = "lower(substr(text, 1, 40))"
 _RANKED = "SELECT query_id, doc_id, ord, score, rank FROM {} WHERE rank <= 20"
 
 ORACLES = {
@@ -131,8 +135,8 @@ ORACLES = {
     "rbo_pairs": "SELECT grp AS key, rbo FROM rbo_values",
     "paired_sign_test": """SELECT higher, lower, round(least(1.0, 2 * (SELECT coalesce(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))), 1.0) FROM (SELECT unnest(range(0, least(higher, lower) + 1)) AS i))), 6) AS p
   FROM (SELECT count(*) FILTER (a < b) AS higher, count(*) FILTER (a > b) AS lower, count(*) FILTER (a <> b) AS n FROM pairs_ab)""",
-    "randomization_pvalue": """WITH d AS (SELECT query_id, a - b AS d FROM pairs_ab), s AS (SELECT p, abs(sum(CASE WHEN substr(md5('0:' || p || ':' || query_id), 1, 1) < '8' THEN d ELSE -d END)) AS s FROM d CROSS JOIN (SELECT unnest(range(1000)) AS p) GROUP BY p)
-  SELECT (SELECT count(*) FROM d) AS n, round((SELECT abs(sum(d)) / count(*) FROM d), 6) AS observed, round(((SELECT count(*) FROM s WHERE s >= (SELECT abs(sum(d)) FROM d) - 1e-9) + 1) / 1001.0, 6) AS p""",
+    "randomization_pvalue": """WITH d AS (SELECT query_id, a - b AS d FROM pairs_ab), s AS (SELECT p, abs(sum(CASE WHEN substr(md5('0:' || p || ':' || query_id), 1, 1) < '8' THEN d ELSE -d END)) AS s FROM d CROSS JOIN (SELECT unnest(range(10000)) AS p) GROUP BY p)
+  SELECT (SELECT count(*) FROM d) AS n, round((SELECT abs(sum(d)) / count(*) FROM d), 6) AS observed, round(((SELECT count(*) FROM s WHERE s >= (SELECT abs(sum(d)) FROM d) - 1e-9) + 1) / 10001.0, 6) AS p""",
     "kappa_weighted": """WITH c AS (SELECT a, b, count(*) AS w FROM judged GROUP BY ALL), r AS (SELECT a, sum(w) AS wa FROM c GROUP BY 1), s AS (SELECT b, sum(w) AS wb FROM c GROUP BY 1)
   SELECT round(1 - (SELECT sum(pow((a - b) / 2.0, 2) * w) FROM c) * (SELECT sum(w) FROM c) / (SELECT sum(pow((a - b) / 2.0, 2) * wa * wb) FROM r CROSS JOIN s), 6) AS kappa""",
     "confusion_matrix": "SELECT a AS human, count(*) FILTER (b = 0) AS g0, count(*) FILTER (b = 1) AS g1, count(*) FILTER (b = 2) AS g2 FROM judged GROUP BY a",
@@ -142,12 +146,14 @@ ORACLES = {
     "replace_partition": "SELECT query_id, doc_id, grade FROM qrels WHERE query_id NOT IN (SELECT query_id FROM qrels WHERE query_id % 4 = 0) UNION ALL SELECT query_id, doc_id, 0 FROM qrels WHERE query_id % 4 = 0",
     "remapped_run": """SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY r, doc_id)::INT AS rank FROM (
   SELECT query_id, d - d % 2 AS doc_id, min(rank) AS r FROM (SELECT query_id, doc_id AS d, rank FROM lex_docs) WHERE (d - d % 2) % 3 <> 0 GROUP BY ALL)) WHERE rank <= 20""",
-    "near_duplicate_groups": r"""SELECT key AS grp, count(*) AS members, min(doc_id) AS first_doc FROM (SELECT doc_id, trim(regexp_replace(translate(lower(substr(text, 1, 40)), 'áàâäãåčçďéèêěëíìîïľĺňñóòôöőõřŕšťúùûüůűýÿž', 'aaaaaaccdeeeeeiiiillnnoooooorrstuuuuuuyyz'), '[^\p{L}\p{N}]+', ' ', 'g')) || '|' || source AS key FROM documents) GROUP BY 1 HAVING count(*) > 1""",
+    "near_duplicate_groups": r"""SELECT md5(key) AS grp, count(*) AS members, min(doc_id) AS first_doc FROM (SELECT doc_id, trim(regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^\p{L}\p{N}]+', ' ', 'g')) || '|' || source AS key FROM documents) WHERE key NOT LIKE '|%' GROUP BY key HAVING count(*) > 1""",
     "representative_argmax": "SELECT grp, arg_max(doc_id, (doc_id % 7 = 0, doc_id % 3 <> 0, n_chars, doc_id)) AS representative FROM (SELECT *, source || lang AS grp FROM documents) WHERE doc_id % 11 <> 0 GROUP BY 1",
-    "exact_term_holders": r"""WITH t AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[2:4]) AS term FROM benchmark)), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS toks, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS s FROM documents)
-  SELECT term, count(DISTINCT doc_id) AS holders FROM (SELECT DISTINCT doc_id, s, unnest(toks) AS term FROM d) JOIN t USING (term) WHERE contains(s, term) GROUP BY 1""",
-    "copy_share": r"""SELECT doc_id, round(CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(a) END, 6) AS share FROM (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 100)), '[\p{L}\p{N}_]+'), lambda t: length(t) >= 3)) AS a,
-  list_distinct(list_filter(regexp_extract_all(lower(substr(text, 101, 400)), '[\p{L}\p{N}_]+'), lambda t: length(t) >= 3)) AS b FROM documents)""",
+    "exact_term_holders": r"""WITH i AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark), t AS (SELECT DISTINCT term FROM (SELECT unnest(w || list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS term FROM i WHERE len(w) > 1)),
+  ts AS (SELECT term, replace(term, 'ß', 'ss') AS plain, regexp_extract_all(replace(term, 'ß', 'ss'), '[\p{L}\p{N}_]+') AS words FROM t), d AS (SELECT doc_id, trim(regexp_replace(replace(lower(translate(nfc_normalize(text), '‐‑–', '---')), 'ß', 'ss'), '\s+', ' ', 'g')) AS s FROM documents),
+  k AS (SELECT doc_id, s, list_distinct(regexp_extract_all(s, '[\p{L}\p{N}_]+')) AS toks FROM d)
+  SELECT term, count(*) AS holders FROM (SELECT doc_id, s, toks, unnest(toks) AS first FROM k) JOIN ts ON ts.words[1] = first WHERE list_has_all(toks, words) AND contains(s, plain) GROUP BY 1""",
+    "copy_share": r"""SELECT doc_id, round(CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(a) END, 6) AS share FROM (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(i.text), '[\p{L}\p{N}_]+'), lambda t: length(t) >= 3)) AS a,
+  list_distinct(list_filter(regexp_extract_all(lower(d.text), '[\p{L}\p{N}_]+'), lambda t: length(t) >= 3)) AS b FROM documents d JOIN benchmark i ON i.item_id = d.doc_id)""",
     "stratified_sample": """WITH j AS (SELECT l.doc_id AS doc_id, doc_id % 5 AS topic, quality + (1 - toxic) * quality AS grade FROM labels l), n AS (SELECT *, row_number() OVER (PARTITION BY grade ORDER BY md5('0:' || topic || ':' || doc_id)) AS n FROM j)
   SELECT topic, doc_id, grade FROM (SELECT *, row_number() OVER (ORDER BY (n > 30), CASE WHEN n > 30 THEN list_position([1, 0, 2], grade) END NULLS FIRST, list_position([1, 0, 2], grade), n) AS place FROM n) WHERE place <= 90""",
     "weighted_draw": """WITH u AS (SELECT source || '-' || lang AS unit, lang AS faculty, count(*) AS size FROM documents GROUP BY ALL),
@@ -158,22 +164,23 @@ ORACLES = {
     "capped_draw": "SELECT doc_id, source FROM (SELECT *, row_number() OVER (ORDER BY k, doc_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, doc_id) AS n FROM sample_key) WHERE n <= 5) WHERE place <= 60",
     "quota_targets": """SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY k, doc_id) AS m FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY k, doc_id) AS n FROM sample_key) WHERE n <= 3)
   WHERE m <= CASE lang WHEN 'en' THEN 30 WHEN 'de' THEN 10 ELSE 0 END""",
-    "priority_then_shuffle": "SELECT doc_id, row_number() OVER (ORDER BY (CASE WHEN doc_id % 50 = 7 THEN doc_id END) NULLS LAST, k, doc_id)::INT AS pos FROM sample_key",
+    "priority_then_shuffle": "SELECT doc_id, row_number() OVER (ORDER BY (CASE WHEN doc_id % 50 = 7 THEN doc_id END) NULLS LAST, k, doc_id) AS pos FROM sample_key",
     "fallback_text_chain": """SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS source FROM documents WHERE text <> '' AND (doc_id % 2 = 0 OR doc_id % 3 = 0)""",
-    "topic_language_expand": "SELECT item_id || '-' || lang AS query_id, item_id AS grp, lang, CASE WHEN lang = 'cs' THEN substr(text, 1, 30) ELSE substr(text, 31, 30) END AS text FROM benchmark CROSS JOIN (VALUES ('cs'), ('en')) t(lang)",
+    "topic_language_expand": "SELECT item_id || '-' || lang AS query_id, item_id AS grp, lang, CASE WHEN lang = 'cs' THEN text ELSE lower(text) END AS text FROM benchmark CROSS JOIN (VALUES ('cs'), ('en')) t(lang)",
     "grade_cache_reuse": """SELECT a.topic, a.doc_id, CASE WHEN a.doc_id % 3 = 0 AND a.topic % 2 = 0 THEN a.grade END AS grade FROM (SELECT query_id AS topic, doc_id, grade FROM qrels) a""",
-    "running_headers": r"""WITH l AS (SELECT doc_id, unnest(range(len(p))) AS n, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+    "running_headers": r"""WITH g AS (SELECT doc_id, source, unnest(range(len(p))) AS i, unnest(p) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS p FROM documents)),
+  l AS (SELECT doc_id, 3 * i AS n, 'Chapter of ' || source AS line FROM g UNION ALL SELECT doc_id, 3 * i + 1, (i % 500 + 1)::VARCHAR FROM g UNION ALL SELECT doc_id, 3 * i + 2, line FROM g),
   m AS (SELECT doc_id, trim(line) AS line, coalesce(regexp_matches(trim(line), '^\d{1,4}$'), false) AS own, coalesce(regexp_matches(trim(lag(line, 1) OVER w), '^\d{1,4}$'), false) OR coalesce(regexp_matches(trim(lag(line, 2) OVER w), '^\d{1,4}$'), false)
     OR coalesce(regexp_matches(trim(lead(line, 1) OVER w), '^\d{1,4}$'), false) OR coalesce(regexp_matches(trim(lead(line, 2) OVER w), '^\d{1,4}$'), false) AS near FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n))
-  SELECT doc_id, line, count(*) AS times FROM m WHERE near AND NOT own AND length(line) BETWEEN 8 AND 150 GROUP BY ALL HAVING count(*) >= 1""",
+  SELECT doc_id, line, count(*) AS times FROM m WHERE near AND NOT own AND length(line) BETWEEN 8 AND 150 GROUP BY ALL HAVING count(*) >= 3""",
     "html_unescape_strip": r"""SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM (SELECT page_id, """
     + "replace(replace(replace(replace(replace(replace(" * 3
     + "html"
-    + ", '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' ')" * 3
+    + ", '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' ')" * 3
     + " AS h FROM pages)",
     "url_parts": r"SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, count(*) AS pages, count(DISTINCT url) AS urls FROM pages GROUP BY 1",
-    "json_props_extract": "SELECT event_type, count(*) AS events, count(DISTINCT props) AS distinct_props, round(sum(value), 4) AS total FROM events GROUP BY 1",
-    "first_wins_dedup": "SELECT grp, doc_id, n_chars FROM (SELECT *, lower(substr(text, 1, 40)) AS grp, row_number() OVER (PARTITION BY lower(substr(text, 1, 40)) ORDER BY source, doc_id) AS n FROM documents) WHERE n = 1",
+    "json_props_extract": "SELECT event_type, count(*) AS events, count(DISTINCT props) AS distinct_props, sum((props->>'$.k')::BIGINT) AS sum_k, round(sum(value), 4) AS total FROM events GROUP BY 1",
+    "first_wins_dedup": "SELECT grp, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY source, doc_id) AS n FROM (SELECT *, md5(lower(text)) AS grp FROM documents)) WHERE n = 1",
     "last_wins_log": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "snapshot_changes": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 10 = 1 THEN 'withdrawn' ELSE 'changed' END AS change FROM documents WHERE doc_id % 10 IN (0, 1, 2)",
     "visibility_filter": "SELECT query_id, doc_id, rank FROM lex_docs WHERE doc_id % 4 <> 0 AND doc_id % 5 <> 0 AND doc_id % 3 <> 1",
@@ -192,7 +199,7 @@ ORACLES = {
     "tpch_grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "tpch_percentile": "SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.5), 4) AS median FROM customer GROUP BY 1",
     "length_histogram": "SELECT lang, floor(n_chars / 1000)::BIGINT AS kilo, count(*) AS n FROM documents GROUP BY ALL",
-    "query_escaping": r"""SELECT item_id, regexp_replace(trim(regexp_replace(replace(substr(text, 1, 80), '%', ''), '\s+', ' ', 'g')), '([+\-!(){}\[\]^"~*?:\\/&|])', '\\\1', 'g') AS text FROM benchmark""",
+    "query_escaping": r"""SELECT item_id, regexp_replace(trim(regexp_replace(replace(text, '%', ''), '\s+', ' ', 'g')), '([+\-!(){}\[\]^"~*?:\\/&|])', '\\\1', 'g') AS text FROM benchmark""",
     "consistency_by_type": "SELECT type, round(avg(rbo), 4) AS rbo, count(*) AS groups FROM (SELECT v.rbo, q.type FROM rbo_values v JOIN q ON q.grp = v.grp AND q.query_id % 2 = 0) GROUP BY ROLLUP (type)",
     "twin_removed_corpus": "SELECT doc_id, source FROM documents WHERE n_chars >= 200 AND doc_id % 7 <> 3",
     "result_snippets": r"SELECT l.query_id, l.doc_id, l.ord, l.rank, substr(trim(regexp_replace(c.text, '\s+', ' ', 'g')), 1, 160) AS snippet FROM lex l JOIN chunks c ON c.doc_id = l.doc_id AND c.ord = l.ord WHERE rank <= 3",
@@ -203,9 +210,7 @@ ORACLES = {
   c AS (SELECT *, CASE WHEN NOT pdfs THEN NULL WHEN described THEN CASE WHEN a IS NOT NULL THEN 'a.txt' END WHEN a >= 6 THEN 'a.txt' ELSE 'b.txt' END AS name FROM f)
   SELECT doc_id, name, CASE name WHEN 'a.txt' THEN a WHEN 'b.txt' THEN 6 END AS size, CASE WHEN name IS NOT NULL THEN CASE WHEN described THEN 'description' ELSE 'largest text' END END AS rule,
   CASE WHEN NOT pdfs THEN 'no pdf' WHEN name IS NULL THEN 'no text' WHEN name = 'a.txt' AND doc_id % 13 = 0 THEN 'restricted' END AS missing FROM c""",
-    "metadata_chunks": """WITH m AS (SELECT doc_id, lang, nullif(substr(text, 1, 20), '') AS t1, CASE WHEN doc_id % 2 = 0 THEN nullif(substr(text, 21, 20), '') END AS t2 FROM documents),
-  u AS (SELECT doc_id, -1 AS ord, concat_ws(chr(10), CASE WHEN lang <> 'en' THEN t1 END, CASE WHEN lang = 'en' THEN t2 END, CASE WHEN doc_id % 3 = 0 THEN 'k1, k2' END) AS text FROM m
-  UNION ALL SELECT doc_id, -2, concat_ws(chr(10), CASE WHEN lang = 'en' THEN t1 END, CASE WHEN lang <> 'en' THEN t2 END, CASE WHEN doc_id % 5 = 0 THEN 'an abstract' END) FROM m) SELECT doc_id, ord, text FROM u WHERE text <> ''""",
+    "metadata_chunks": "SELECT doc_id, ord, text FROM meta_chunks",
     "source_overview": "SELECT source, sum(n) AS documents, arg_max(lang, (n, lang)) AS main_lang, min(low) AS shortest, max(high) AS longest FROM (SELECT source, lang, count(*) AS n, min(n_chars) AS low, max(n_chars) AS high FROM documents GROUP BY ALL) GROUP BY 1",
     "two_level_retrieval": """SELECT query_id, doc_id, ord, score FROM (SELECT s.*, row_number() OVER (PARTITION BY s.query_id, s.doc_id ORDER BY s.rank) AS n FROM sem s JOIN lex_docs l ON l.query_id = s.query_id AND l.doc_id = s.doc_id AND l.rank <= 5) WHERE n = 1""",
     "median_latency": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, list_sort(list(value))[(count(value) // 2)::BIGINT + 1] AS upper_median FROM events GROUP BY 1",
@@ -215,6 +220,44 @@ ORACLES = {
 }
 
 
+ORACLES |= {
+    "catalog_projection": """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN source WHEN doc_id % 2 = 0 THEN 'Fakulta-' || lang END AS faculty, CASE WHEN doc_id % 3 <> 1 THEN 'dep-' || doc_id % 6 END AS department,
+  'Práce č. ' || doc_id // 21 AS title, 'cs' AS title_lang, CASE WHEN doc_id % 2 = 0 THEN 'Thesis ' || doc_id END AS title_translated, CASE WHEN doc_id % 2 = 0 THEN 'en' END AS title_translated_lang, 'jedna;' || doc_id % 9 AS keywords_cs, 'one;two' AS keywords_en FROM documents""",
+    "group_members": "SELECT * FROM member_rows",
+    "same_work_groups": """SELECT 'prace c ' || regexp_extract(title, '[0-9]+$') || '|novak jan ' || right(author, 1) AS grp, count(DISTINCT coalesce(thesis_type, '-')) FILTER (coalesce(thesis_type, '-') <> 'rigorózní práce') <= 1 AS same_work,
+  CASE WHEN bool_or(coalesce(outcome = 'U', false)) THEN 'recognized' WHEN count(DISTINCT coalesce(thesis_type, '-')) = 1 THEN 'repeated defence' ELSE 'rigorous thesis' END AS shape FROM member_rows GROUP BY title, author HAVING count(*) > 1""",
+    "eligible_documents": """SELECT doc_id, 'dep-' || doc_id % 6 AS department FROM documents WHERE doc_id % 4 <> 1 AND doc_id % 3 <> 1 AND doc_id % 5 <> 0 AND n_chars >= 1000""",
+    "department_draw": """WITH u AS (SELECT lang, source, count(*) AS n, md5('0:' || lang || ':' || source) AS k FROM documents GROUP BY ALL HAVING count(*) >= 5), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY k, source) AS n2 FROM u),
+  c AS (SELECT lang, source FROM r WHERE n2 <= 2 ORDER BY k, lang, source LIMIT 8)
+  SELECT faculty, department, doc_id FROM (SELECT s.lang AS faculty, s.source AS department, doc_id, row_number() OVER (PARTITION BY s.lang, s.source ORDER BY s.k, doc_id) AS n FROM sample_key s JOIN c ON s.lang = c.lang AND s.source = c.source) WHERE n <= 5""",
+    "private_name_tokens": "SELECT doc_id, 'jan novák' AS names FROM documents",
+    "ids_and_shards": r"""SELECT doc_id, replace(h, '/', '_') AS stem, coalesce(try_cast(p AS BIGINT), 0) AS number, CASE WHEN try_cast(p AS BIGINT) IS NOT NULL THEN (try_cast(p AS BIGINT) // 1000)::VARCHAR ELSE 'other' END AS shard, source || '-žluť' AS slug,
+  (n_chars * 7) // 3600 || ' h ' || (n_chars * 7) % 3600 // 60 || ' min' AS took FROM (SELECT *, '20.500/' || CASE WHEN doc_id % 10 = 3 THEN 'x' ELSE '' END || doc_id * 37 AS h, CASE WHEN doc_id % 10 = 3 THEN 'x' ELSE '' END || doc_id * 37 AS p FROM documents)""",
+    "kept_files": """SELECT doc_id, 5 AS files, CASE WHEN a = 0 AND b = 0 THEN NULL WHEN a >= b THEN 'a.pdf.txt' ELSE 'b.pdf.txt' END AS body FROM (SELECT doc_id, doc_id % 13 AS a, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 7 ELSE 0 END AS b FROM documents)""",
+    "override_provenance": """SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'fixed' ELSE source END AS source, CASE WHEN doc_id % 4 = 0 THEN 'cs' ELSE lang END AS lang, CASE WHEN doc_id % 8 = 0 THEN 'lang,source' WHEN doc_id % 4 = 0 THEN 'lang' ELSE '' END AS overridden FROM documents""",
+    "category_histogram": """SELECT "column", value, n, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value)::INT AS place FROM (SELECT 'lang' AS "column", lang AS value, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY ALL)""",
+    "collection_counts": """SELECT source AS collection, count(DISTINCT doc_id % 97) AS found, max(doc_id) % 60 AS announced, count(DISTINCT doc_id % 97) >= max(doc_id) % 60 AS complete FROM documents GROUP BY 1""",
+    "table_differences": "SELECT CASE lang WHEN 'de' THEN 'first' ELSE 'second' END AS side, source, lang, count(*) AS n FROM documents WHERE lang IN ('de', 'fr') GROUP BY ALL",
+    "multiset_operations": "SELECT source, count(*) AS n FROM (SELECT source FROM documents WHERE doc_id % 2 = 0 INTERSECT ALL SELECT source FROM documents WHERE doc_id % 3 = 0) GROUP BY 1",
+    "window_frames": """SELECT event_id, ntile(4) OVER w AS quarter, round(cume_dist() OVER w, 6) AS share, round(percent_rank() OVER w, 6) AS place, nth_value(event_type, 2) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second,
+  count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS within_hour FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
+    "date_arithmetic": """SELECT event_id, ts::DATE + 30 AS due, last_day(ts::DATE) AS month_end, (dayofweek(ts) + 1)::INT AS weekday, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp, (DATE '2025-01-01' - ts::DATE)::INT AS days_left FROM events""",
+    "line_positions": r"""WITH g AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+  l AS (SELECT doc_id, 3 * i AS n, x AS line FROM g UNION ALL SELECT doc_id, 3 * i + 1, '' FROM g WHERE i % 3 = 1 UNION ALL SELECT doc_id, 3 * i + 2, (i + 1)::VARCHAR FROM g WHERE i % 3 = 1),
+  f AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position,
+    last_value(nullif(trim(line), '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
+    first_value(nullif(trim(line), '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM l)
+  SELECT doc_id, count(*) AS lines, sum(position)::BIGINT AS positions, count(*) FILTER (coalesce(regexp_matches(b, '^[0-9]{1,4}$'), false) OR coalesce(regexp_matches(a, '^[0-9]{1,4}$'), false)) AS beside FROM f GROUP BY 1""",
+    "metrics_by_type": """SELECT query_id, metric, round(value, 6) AS value FROM (SELECT query_id, unnest(CASE WHEN q.type = 'topic' THEN ['ndcg_10', 'p_10', 'recall_100', 'judged_10'] ELSE ['mrr_10', 'success_1', 'success_10', 'success_100'] END) AS metric,
+  unnest(CASE WHEN q.type = 'topic' THEN [ndcg_10::DOUBLE, p_10, recall_100, judged_10] ELSE [mrr_10::DOUBLE, success_1, success_10, success_100] END) AS value FROM values_ v JOIN q USING (query_id))""",
+    "results_keep_metrics": "SELECT query_id, CASE WHEN query_id % 3 <> 0 THEN 0.5 ELSE round(mrr_10, 6) END AS mrr_10, round(ndcg_10, 6) AS ndcg_10 FROM values_",
+    "all_chunks_union": "SELECT doc_id, ord, length(text) AS n FROM chunks UNION ALL SELECT doc_id, ord, length(text) FROM meta_chunks",
+    "entities_to_a_fixpoint": "SELECT doc_id, chr((doc_id % 26 + 97)::INT) || 'é' || chr((doc_id % 26 + 97)::INT) || ' a < b &unknown;' AS text FROM documents",
+    "equality_keys": "SELECT doc_id, 'strasse film zlut kun No ' || source AS grp FROM documents",
+    "defence_outcomes": """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'O' WHEN 1 THEN 'N' WHEN 2 THEN 'U' ELSE CASE doc_id // 5 % 6 WHEN 0 THEN 'N' WHEN 1 THEN 'U' WHEN 2 THEN 'O' WHEN 3 THEN 'O' END END AS outcome FROM documents""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
     out = {}

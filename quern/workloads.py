@@ -11,7 +11,9 @@ from quern.functions import text as T
 from quern.operators import catalog as C
 from quern.operators import evalset as E
 from quern.operators import metrics as M
+from quern.operators import records as R
 from quern.operators import search as S
+from quern.plans.store import built
 from quern.sources import trec
 
 CHUNK = ("doc_id", "ord")
@@ -38,13 +40,25 @@ class Data:
     def qrels(self) -> DataFrame:
         grade = (F.col("quality") + (1 - F.col("toxic")) * F.col("quality")).alias("grade")
         sides = self.benchmark.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 13).alias("m"))
-        return self.labels.withColumn("m", F.col("doc_id") % 13).join(sides, "m").select("query_id", "doc_id", grade)
+        return self.labels.withColumn("m", F.col("doc_id") % 13).join(S.maybe_broadcast(sides), "m").select("query_id", "doc_id", grade)
+
+    def index(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return built(self.spark, f"{name} {self.sf_dir}", make)
 
     def chunks(self) -> DataFrame:
         return S.chunks(S.spread(self.documents.select("doc_id", "text")))
 
+    def tokens(self) -> DataFrame:
+        return self.index("tokens", lambda: S.tokenised(self.chunks()))
+
+    def stats(self) -> DataFrame:
+        return self.index("stats", lambda: S.collection_stats(self.tokens()))
+
+    def idf(self) -> DataFrame:
+        return self.index("idf", lambda: S.idf(S.chunk_vocabulary(self.tokens()), self.stats()))
+
     def lexical_scores(self) -> DataFrame:
-        return S.bm25(self.chunks(), self.queries())
+        return S.bm25(self.tokens(), self.stats(), self.idf(), self.queries())
 
     def lexical(self) -> DataFrame:
         return S.top(self.lexical_scores(), POOL, CHUNK, positive=True)
@@ -52,12 +66,13 @@ class Data:
     def lexical_docs(self) -> DataFrame:
         return S.best_chunk(self.lexical(), 100)
 
-    def semantic_scores(self) -> DataFrame:
-        asked = S.hash_vectors(self.queries(), ["query_id"]).withColumnRenamed("w", "qw")
-        return S.sparse(asked, S.hash_vectors(self.chunks(), CHUNK), "dim", CHUNK)
+    def semantic_scores(self, k: int | None = None) -> DataFrame:
+        asked = S.hash_vectors(self.queries().select("query_id", T.tokens(F.col("text")).alias("toks")), ["query_id"]).withColumnRenamed("vec", "qvec")
+        vectors = self.index("vectors", lambda: S.hash_vectors(self.tokens(), CHUNK))
+        return S.dense(asked, vectors, CHUNK, k)
 
     def semantic(self) -> DataFrame:
-        return S.top(self.semantic_scores(), POOL, CHUNK)
+        return S.top(self.semantic_scores(POOL), POOL, CHUNK)
 
     def judged(self) -> DataFrame:
         a = F.col("quality") + (1 - F.col("toxic")) * F.col("quality")
@@ -84,13 +99,13 @@ def chunk_documents(d: Data) -> DataFrame:
 
 @query
 def token_stats(d: Data) -> DataFrame:
-    terms = S.chunk_terms(d.chunks()).agg(F.countDistinct("term").alias("n_terms"), F.sum("tf").alias("n_tokens"))
-    return S.collection_stats(d.chunks()).crossJoin(terms).select(F.col("n").alias("n_chunks"), F.round("avg_len", 6).alias("avg_len"), "n_terms", "n_tokens")
+    terms = S.chunk_terms(d.tokens()).agg(F.countDistinct("term").alias("n_terms"), F.sum("tf").alias("n_tokens"))
+    return d.stats().crossJoin(terms).select(F.col("n").alias("n_chunks"), F.round("avg_len", 6).alias("avg_len"), "n_terms", "n_tokens")
 
 
 @query
 def bm25_idf(d: Data) -> DataFrame:
-    return S.idf(S.chunk_vocabulary(d.chunks()), S.collection_stats(d.chunks())).select("term", "df", F.round("idf", 6).alias("idf"))
+    return d.idf().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query
@@ -115,7 +130,7 @@ def mean_of_top3_docs(d: Data) -> DataFrame:
 
 @query
 def hash_dense_topk(d: Data) -> DataFrame:
-    return S.top(d.semantic_scores(), 20, CHUNK)
+    return S.top(d.semantic_scores(20), 20, CHUNK)
 
 
 @query
@@ -141,13 +156,13 @@ def normalised_sum_fusion(d: Data) -> DataFrame:
 @query
 def rerank_head_tail(d: Data) -> DataFrame:
     ranking = d.lexical()
-    return S.rerank(ranking, S.overlap_scores(first(ranking), d.queries(), d.chunks()), 20)
+    return S.rerank(ranking, S.overlap_scores(first(ranking), d.queries(), d.tokens()), 20)
 
 
 @query
 def rescore_union_candidates(d: Data) -> DataFrame:
     heads = first(d.lexical()).select("query_id", *CHUNK).unionByName(first(d.semantic()).select("query_id", *CHUNK)).distinct()
-    return S.overlap_scores(heads, d.queries(), d.chunks())
+    return S.overlap_scores(heads, d.queries(), d.tokens())
 
 
 @query
@@ -197,7 +212,7 @@ def paired_sign_test(d: Data) -> DataFrame:
 
 @query
 def randomization_pvalue(d: Data) -> DataFrame:
-    return M.randomization(d.values().select("query_id", F.col("mrr_10").alias("a"), F.col("success_10").alias("b")), 1000)
+    return M.randomization(d.values().select("query_id", F.col("mrr_10").alias("a"), F.col("success_10").alias("b")))
 
 
 @query
@@ -241,9 +256,9 @@ def remapped_run(d: Data) -> DataFrame:
 
 @query
 def near_duplicate_groups(d: Data) -> DataFrame:
-    rows = d.documents.select("doc_id", F.substring("text", 1, 40).alias("title"), F.col("source").alias("author"))
+    rows = d.documents.select("doc_id", F.col("text").alias("title"), F.concat("source", F.lit(", ")).alias("author"))
     groups = E.same_title_groups(rows)
-    return groups.groupBy("grp").agg(F.count("*").alias("members"), F.min("doc_id").alias("first_doc"))
+    return groups.groupBy(F.md5(F.col("grp").cast("binary")).alias("grp")).agg(F.count("*").alias("members"), F.min("doc_id").alias("first_doc"))
 
 
 @query
@@ -257,14 +272,16 @@ def representative_argmax(d: Data) -> DataFrame:
 
 @query
 def exact_term_holders(d: Data) -> DataFrame:
-    terms = d.benchmark.select(F.explode(F.slice(T.tokens(F.col("text")), 2, 3)).alias("term")).distinct()
+    words = T.tokens(F.col("text"))
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    terms = d.benchmark.where(F.size(words) > 1).select(F.explode(F.concat(words, pairs)).alias("term")).distinct()
     return E.term_holders(terms, d.documents).groupBy("term").agg(F.count("*").alias("holders"))
 
 
 @query
 def copy_share(d: Data) -> DataFrame:
-    share = T.copy_share(F.substring("text", 1, 100), F.substring("text", 101, 400))
-    return d.documents.select("doc_id", F.round(share, 6).alias("share"))
+    items = d.benchmark.select(F.col("item_id").alias("doc_id"), F.col("text").alias("item"))
+    return d.documents.join(items, "doc_id").select("doc_id", F.round(T.copy_share(F.col("item"), F.col("text")), 6).alias("share"))
 
 
 @query
@@ -304,7 +321,7 @@ def fallback_text_chain(d: Data) -> DataFrame:
 @query
 def topic_language_expand(d: Data) -> DataFrame:
     topics = d.benchmark.select(
-        F.col("item_id").alias("id"), F.lit("a").alias("part"), F.substring("text", 1, 30).alias("cs"), F.substring("text", 31, 30).alias("en"), F.lit("").alias("narrative")
+        F.col("item_id").alias("id"), F.lit("a").alias("part"), F.col("text").alias("cs"), F.lower("text").alias("en"), F.lit("").alias("narrative")
     )
     return E.languages(topics).select("query_id", "grp", "lang", "text")
 
@@ -320,7 +337,10 @@ def grade_cache_reuse(d: Data) -> DataFrame:
 
 @query
 def running_headers(d: Data) -> DataFrame:
-    return C.running_headers(d.documents, 1)
+    """Every line of a text as a page with a header and a number."""
+    page = lambda line, i: F.concat(F.lit("Chapter of "), F.col("source"), F.lit("\n"), (i % 500 + 1).cast("string"), F.lit("\n"), line)
+    paged = F.array_join(F.transform(F.split("text", "\n"), page), "\n")
+    return C.running_headers(d.documents.select("doc_id", paged.alias("text")), 3)
 
 
 @query
@@ -336,12 +356,12 @@ def url_parts(d: Data) -> DataFrame:
 
 @query
 def json_props_extract(d: Data) -> DataFrame:
-    return d.events.groupBy("event_type").agg(F.count("*").alias("events"), F.countDistinct("props").alias("distinct_props"), F.round(F.sum("value"), 4).alias("total"))
+    return d.events.groupBy("event_type").agg(F.count("*").alias("events"), F.countDistinct("props").alias("distinct_props"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("sum_k"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query
 def first_wins_dedup(d: Data) -> DataFrame:
-    rows = d.documents.select(F.lower(F.substring("text", 1, 40)).alias("grp"), "doc_id", "n_chars", "source")
+    rows = d.documents.select(F.md5(F.lower("text").cast("binary")).alias("grp"), "doc_id", "n_chars", "source")
     return C.first_wins(rows, "grp", "source", "doc_id").select("grp", "doc_id", "n_chars")
 
 
@@ -372,7 +392,7 @@ def knn_graph(d: Data) -> DataFrame:
 @query
 def dense_topk(d: Data) -> DataFrame:
     asked = d.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    return S.top(S.dense(asked, d.embeddings.select("vec_id", F.col("embedding").alias("vec"))), 5, ("vec_id",))
+    return S.top(S.dense(asked, d.embeddings.select("vec_id", F.col("embedding").alias("vec")), k=5), 5, ("vec_id",))
 
 
 @query
@@ -440,7 +460,7 @@ def tpch_grouping_sets(d: Data) -> DataFrame:
 
 @query
 def tpch_percentile(d: Data) -> DataFrame:
-    return d.customer.groupBy("c_mktsegment").agg(F.round(F.percentile("c_acctbal", F.lit(0.5)), 4).alias("median"))
+    return C.medians(d.customer, "c_mktsegment", "c_acctbal").select("c_mktsegment", F.round("median", 4).alias("median"))
 
 
 @query
@@ -450,7 +470,7 @@ def length_histogram(d: Data) -> DataFrame:
 
 @query
 def query_escaping(d: Data) -> DataFrame:
-    return d.benchmark.select("item_id", T.query_text(F.substring("text", 1, 80), escaped=True).alias("text"))
+    return d.benchmark.select("item_id", T.query_text(F.col("text"), escaped=True).alias("text"))
 
 
 @query
@@ -502,7 +522,7 @@ _FILES = "array<struct<bundle:string,name:string,description:string,format:strin
 @query
 def metadata_chunks(d: Data) -> DataFrame:
     rows = d.documents.select(
-        "doc_id", F.substring("text", 1, 20).alias("title"), F.col("lang").alias("title_lang"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 21, 20)).alias("title_translated"),
+        "doc_id", F.concat_ws(" ", "source", "doc_id").alias("title"), F.col("lang").alias("title_lang"), F.when(F.col("doc_id") % 2 == 0, F.concat_ws(" ", "lang", "n_chars")).alias("title_translated"),
         F.when(F.col("lang") == "en", "cs").otherwise("en").alias("title_translated_lang"), F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("k1"), F.lit("k2"))).alias("keywords_cs"),
         F.array().cast("array<string>").alias("keywords_en"), F.lit(None).cast("string").alias("abstract_cs"), F.when(F.col("doc_id") % 5 == 0, F.lit("  an   abstract ")).alias("abstract_en"),
     )
@@ -525,7 +545,7 @@ def two_level_retrieval(d: Data) -> DataFrame:
 
 @query
 def median_latency(d: Data) -> DataFrame:
-    return d.events.groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), F.element_at(F.sort_array(F.collect_list("value")), (F.count("value") / 2).cast("int") + 1).alias("upper_median"))
+    return C.medians(d.events, "event_type", "value").select("event_type", F.round("median", 6).alias("median"), "upper_median")
 
 
 @query
@@ -535,3 +555,188 @@ def integrity_report(d: Data) -> DataFrame:
     twice = d.queries().groupBy("query_id").count().where("count > 1").agg(F.count("*").alias("repeated_queries"))
     both = d.queries().groupBy(F.lower(F.trim("text")).alias("t")).agg(F.countDistinct("lang").alias("n")).where("n > 1").agg(F.count("*").alias("shared_texts"))
     return stray.crossJoin(twice).crossJoin(both)
+
+
+def _catalog(d: Data) -> DataFrame:
+    """Records made of documents: fields by dotted name, with gaps that the chains of fallbacks close."""
+    n = F.col("doc_id")
+    value = lambda v, lang: F.struct(v.cast("string").alias("value"), F.lit(lang).cast("string").alias("lang"))
+    none = F.array().cast("array<struct<value:string,lang:string>>")
+    some = lambda test, *v: F.when(test, F.array(*v)).otherwise(none)
+    of = lambda place, *words: F.element_at(F.array(*map(F.lit, words)), (place % len(words) + 1).cast("int"))
+    grade = of(n, "Výborně", "Neprospěl(a)", "Uznáno", "Uznáno jinde", "Nedostatečně")
+    fields = {
+        "dc.title": some(F.lit(True), value(F.concat_ws(" ", F.lit("Práce č."), F.floor(n / 21)), "cs_CZ")),
+        "dc.title.translated": some(n % 2 == 0, value(F.concat_ws(" ", F.lit("Thesis"), n), "en-US")),
+        "uk.faculty-name.cs": some(n % 4 == 0, value(F.col("source"), None)),
+        "dc.description.faculty": some(n % 2 == 0, value(F.lit("Faculty"), "en_US"), value(F.concat_ws("-", F.lit("Fakulta"), "lang"), "cs_CZ")),
+        "dc.description.department": some(n % 3 != 1, value(F.concat_ws("-", F.lit("dep"), n % 6), "en")),
+        "dc.type": some(n % 11 != 0, value(of(F.floor(n / 7), "diplomová práce", "Rigorózní práce", "bakalářská práce"), None)),
+        "dc.subject": some(F.lit(True), value(F.concat(F.lit(" jedna | "), n % 9, F.lit("||")), "cs"), value(F.lit("one|two "), "en_US")),
+        "uk.thesis.defenceStatus": some(n % 4 == 1, value(F.when(n % 3 == 0, "U").otherwise("N"), None)),
+        "thesis.grade.cs": some(n % 7 != 3, value(grade, None)),
+        "dc.creator": some(F.lit(True), value(F.concat(F.lit(" Novák, Jan "), n % 2, F.when(n % 3 == 0, ", ").otherwise("")), None)),
+        "dc.date.issued": some(F.lit(True), value(2000 + n % 20, None)),
+    }
+    return d.documents.select("doc_id", "n_chars", F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*fields.values())).alias("fields"))
+
+
+@query
+def catalog_projection(d: Data) -> DataFrame:
+    rows = R.documents(_catalog(d))
+    lists = [F.array_join(c, ";").alias(c) for c in ("keywords_cs", "keywords_en")]
+    return rows.select("doc_id", "faculty", "department", "title", "title_lang", "title_translated", "title_translated_lang", *lists)
+
+
+@query
+def group_members(d: Data) -> DataFrame:
+    return R.members(_catalog(d))
+
+
+@query
+def same_work_groups(d: Data) -> DataFrame:
+    return E.same_work(E.same_title_groups(R.members(_catalog(d))))
+
+
+@query
+def eligible_documents(d: Data) -> DataFrame:
+    access = F.when(F.col("doc_id") % 5 == 0, "restrictedAccess").when(F.col("doc_id") % 5 == 1, "openAccess")
+    return R.documents(_catalog(d)).where(R.eligible(F.col("defence_status"), F.col("department"), F.col("n_chars"), access, 1000)).select("doc_id", "department")
+
+
+@query
+def department_draw(d: Data) -> DataFrame:
+    return R.draw_departments(d.documents.select("doc_id", F.col("lang").alias("faculty"), F.col("source").alias("department")), 8, 5, 4)
+
+
+@query
+def private_name_tokens(d: Data) -> DataFrame:
+    return _catalog(d).select("doc_id", F.array_join(R.private_names(F.col("fields")), " ").alias("names"))
+
+
+@query
+def ids_and_shards(d: Data) -> DataFrame:
+    handle = F.concat(F.lit("20.500/"), F.when(F.col("doc_id") % 10 == 3, "x").otherwise(""), F.col("doc_id") * 37)
+    return d.documents.select(
+        "doc_id", R.stem(handle).alias("stem"), R.handle_number(handle).alias("number"), R.shard(handle).alias("shard"),
+        R.slug(F.concat_ws(" / ", "source", F.lit("Žluť"))).alias("slug"), R.duration(F.col("n_chars") * 7).alias("took"),
+    )
+
+
+@query
+def kept_files(d: Data) -> DataFrame:
+    n = F.col("doc_id")
+    file = lambda name, form, size: F.struct(F.lit(name).alias("name"), F.lit(form).alias("format"), size.cast("string").alias("size"))
+    bundle = lambda name, *f: F.struct(F.lit(name).alias("name"), F.array(*f).alias("bitstreams"))
+    bundles = F.array(
+        bundle("ORIGINAL", file("a.pdf", C.PDF, n), file("b.pdf", C.PDF, n)), bundle("THUMBNAIL", file("a.jpg", "image/jpeg", n)),
+        bundle("TEXT", file("a.pdf.txt", "text/plain", n % 13), file("b.pdf.txt", "text/plain", F.when(n % 3 != 0, n % 7)), file("c.txt", "text/plain", n * 100)),
+    )
+    rows = d.documents.select("doc_id", R.files(bundles).alias("kept"))
+    return rows.select("doc_id", F.size("kept").alias("files"), R.largest_body(F.col("kept")).alias("body"))
+
+
+@query
+def override_provenance(d: Data) -> DataFrame:
+    docs = d.documents.select("doc_id", "source", "lang")
+    new = docs.where("doc_id % 4 = 0").select("doc_id", F.when(F.col("doc_id") % 8 == 0, "fixed").alias("source"), F.lit("cs").alias("lang"))
+    rows = R.with_overrides(docs, new, "doc_id", "source", "lang")
+    return rows.select("doc_id", "source", "lang", F.array_join(F.array_sort(F.map_keys("provenance")), ",").alias("overridden"))
+
+
+@query
+def category_histogram(d: Data) -> DataFrame:
+    return R.histogram(d.documents, "lang", "source")
+
+
+@query
+def collection_counts(d: Data) -> DataFrame:
+    rows = d.documents.select(F.col("source").alias("collection"), (F.col("doc_id") % 97).alias("id"))
+    announced = d.documents.groupBy(F.col("source").alias("collection")).agg((F.max("doc_id") % 60).alias("announced"))
+    return R.set_counts(rows, announced)
+
+
+@query
+def table_differences(d: Data) -> DataFrame:
+    rows = d.documents.select("source", "lang")
+    return R.differences(rows.where("lang <> 'fr'"), rows.where("lang <> 'de'")).groupBy("side", "source", "lang").agg(F.count("*").alias("n"))
+
+
+@query
+def multiset_operations(d: Data) -> DataFrame:
+    a, b = d.documents.where("doc_id % 2 = 0").select("source"), d.documents.where("doc_id % 3 = 0").select("source")
+    return a.intersectAll(b).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query
+def window_frames(d: Data) -> DataFrame:
+    by = Window.partitionBy("user_id").orderBy("event_id")
+    near = Window.partitionBy("user_id").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-3600, 0)
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return d.events.select(
+        "event_id", F.ntile(4).over(by).alias("quarter"), F.round(F.cume_dist().over(by), 6).alias("share"), F.round(F.percent_rank().over(by), 6).alias("place"),
+        F.nth_value("event_type", 2).over(whole).alias("second"), F.count("*").over(near).alias("within_hour"),
+    )
+
+
+@query
+def date_arithmetic(d: Data) -> DataFrame:
+    day = F.to_date("ts")
+    return d.events.select(
+        "event_id", F.date_add(day, 30).alias("due"), F.last_day(day).alias("month_end"), F.dayofweek(day).alias("weekday"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"), F.datediff(F.lit("2025-01-01").cast("date"), day).alias("days_left"),
+    )
+
+
+@query
+def line_positions(d: Data) -> DataFrame:
+    page = lambda x, i: F.when(i % 3 == 1, F.concat(x, F.lit("\n\n"), (i + 1).cast("string"))).otherwise(x)
+    numbered = F.array_join(F.transform(F.split("text", "\n"), page), "\n")
+    rows = C.line_places(d.documents.select("doc_id", numbered.alias("text")))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum("position").alias("positions"), F.count_if("beside_number").alias("beside"))
+
+
+@query
+def metrics_by_type(d: Data) -> DataFrame:
+    return M.by_type(d.queries(), d.values()).select("query_id", "metric", F.round("value", 6).alias("value"))
+
+
+@query
+def setup_comparison(d: Data) -> DataFrame:
+    """Documents by sums of three chunks against documents by their best chunk."""
+    other = S.sum_of_chunks(d.lexical(), 3, 100)
+    return M.comparison(d.queries(), d.qrels(), M.per_query(d.queries(), d.qrels(), other), d.values())
+
+
+@query
+def results_keep_metrics(d: Data) -> DataFrame:
+    stored = d.values().select("query_id", "mrr_10", "ndcg_10")
+    new = d.values().where("query_id % 3 <> 0").select("query_id", F.lit(0.5).alias("mrr_10"), F.lit(None).cast("double").alias("ndcg_10"))
+    kept = M.kept_results(stored, new, "query_id", "mrr_10", "ndcg_10")
+    return kept.select("query_id", F.round("mrr_10", 6).alias("mrr_10"), F.round("ndcg_10", 6).alias("ndcg_10"))
+
+
+@query
+def all_chunks_union(d: Data) -> DataFrame:
+    """Chunks of texts and of metadata in one table; metadata have negative numbers."""
+    return d.chunks().unionByName(metadata_chunks(d)).select("doc_id", "ord", F.length("text").alias("n"))
+
+
+@query
+def entities_to_a_fixpoint(d: Data) -> DataFrame:
+    n = F.col("doc_id") % 26 + 97
+    text = F.concat(F.lit("&amp;amp;amp;#"), n, F.lit(";&eacute;&amp;#x"), F.hex(n), F.lit("; a &amp;lt; b &unknown;"))
+    return d.documents.select("doc_id", T.unescape(text).alias("text"))
+
+
+@query
+def equality_keys(d: Data) -> DataFrame:
+    """Spellings with combining marks, ligatures and sharp s."""
+    return d.documents.select("doc_id", T.equality_key(F.concat(F.lit("Straße, ﬁlm: ŽLUŤ-Kůň № "), F.col("source"))).alias("grp"))
+
+
+@query
+def defence_outcomes(d: Data) -> DataFrame:
+    of = lambda place, *words: F.element_at(F.array(*[F.lit(w).cast("string") for w in words]), (place % len(words) + 1).cast("int"))
+    status, grade = of(F.col("doc_id"), "O", "N", "U", "", None), of(F.floor(F.col("doc_id") / 5), "Neprospěl", "Uznáno", "Uznáno částečně", "Výborně", "", None)
+    return d.documents.select("doc_id", E.outcome(status, grade).alias("outcome"))
