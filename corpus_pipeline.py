@@ -18,7 +18,8 @@ from quern.llm.queries import table, tokenizer_path
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the ordinal classifier, fitted on the labelled ones among them, rejects."""
     model = ordinal_quality.train(docs, table(spark, sf_dir, "labels"))
-    return ordinal_quality.score(docs, model).where("_keep").select(*docs.columns)
+    grade, tail, keep = (hidden(docs, x) for x in ("grade", "tail", "keep"))
+    return ordinal_quality.score(docs, model, grade, tail, keep).where(F.col(keep)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the ids of each text (little-endian unsigned 32-bit integers), their number and the text that they decode to."""
     rows = lexicon.round_trip(docs, lexicon.Lexicon.of(docs, tokenizer_path()))
-    return rows.select(*[c for c in rows.columns if c != "text"], (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
+    kept = [c for c in rows.columns if c not in ("text", "n_tokens")]
+    return rows.select(*[F.col(f"`{c}`") for c in kept], (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
 
 
 STAGES = [

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import offsets_by_partition, stage
+from quern.llm.common import hidden, offsets_by_partition, stage
 
 #: Weights by the order of sources, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -81,37 +81,51 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_rate: int
     return known.select("source", "source_size", F.least(F.col("weight") * F.lit(level), cap).alias("target"))
 
 
+#: What ``mix`` adds, and the names that its columns have if no others are given.
+ADDED = {"size": "_size", "source_size": "_source_size", "target": "_target", "copies": "_copies"}
+
+
+def draw(doc_id: Column, seed: int) -> Column:
+    """A fixed number from 0 up to 1: 52 bits of the md5 of seed and id; a null id is the word null."""
+    said = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(said.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
     max_rate: int = MAX_RATE,
     seed: int = 17,
     size: Column | None = None,
+    names: dict[str, str] | None = None,
 ) -> DataFrame:
-    """All rows of ``docs`` (doc_id, text, source, ...) with _size, _source_size, _target, _copies.
+    """All rows of ``docs`` (doc_id, text, source, ...) with the size of each, that of its source, the source's target and the number of copies, under ``names`` (else ``ADDED``).
 
     A null text has size 0; a null source is a source of its own, last in the order; rows that repeat a doc_id
-    and text share one decision; a null doc_id is hashed as such. A source of size 0 has target 0 and copies 0.
-    An empty table gives an empty table. Further columns stay as they are; the four names must be free.
+    share one decision; a null doc_id is hashed as such. A source of size 0 has target 0 and copies 0. Very long texts are counted whole.
+    An empty table gives an empty table. Further columns stay as they are; those that have one of the four names are replaced.
     """
-    counted = docs.withColumn("_size", word_count(F.col("text")) if size is None else size)
-    sums = counted.groupBy("source").agg(F.sum("_size").alias("source_size"))
+    names = ADDED | (names or {})
+    taken = {n.lower() for n in names.values()}
+    own = word_count(F.col("text")) if size is None else size
+    counted = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken], own.alias(names["size"]))
+    sums = counted.groupBy("source").agg(F.sum(names["size"]).alias("source_size"))
+    key = hidden(counted, "source")
     goals = targets(stage(sums, "mix-sizes"), weights, max_rate).select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
+        F.col("source").alias(key), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"])
     )
     if goals.count() <= BROADCAST_SOURCES:
         goals = F.broadcast(goals)
-    joined = counted.join(goals, counted["source"].eqNullSafe(goals["_source"]), "left").drop("_source")
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    # The upper 53 bits of a hash, as a fraction of one.
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) / F.lit(float(1 << 53))
-    copies = F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumn("_copies", F.least(copies, F.lit(max_rate)).cast("int"))
+    joined = counted.join(goals, counted["source"].eqNullSafe(goals[key]), "left").drop(key)
+    total, goal = F.col(names["source_size"]), F.col(names["target"])
+    rate = F.when(total > 0, goal / total).otherwise(0.0)
+    copies = F.floor(rate) + F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    return joined.withColumn(names["copies"], F.least(copies, F.lit(max_rate)).cast("int"))
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as many times as it was taken, in the columns of ``docs``."""
-    mixed = mix(docs, **options)
-    return mixed.where("_copies > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    ).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = {k: hidden(docs, f"mix_{k}") for k in ADDED}
+    mixed, copy = mix(docs, names=names, **options), hidden(docs, "mix_copy")
+    rows = mixed.where(F.col(names["copies"]) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(names["copies"]))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quern.llm.common import as_bytes, bound_batches, keep, only
+from quern.llm.common import as_bytes, bound_batches, keep, mix64, only
 
 BUCKETS = 1 << 18
-#: Labelled documents that are fitted on, and distinct features of one of them that are kept for the fit (all are used in scoring).
-MAX_ROWS = 16_000
+#: Labelled documents that are fitted on, and distinct features of one of them that are kept for the fit, chosen by a hash that is the same for all (scoring uses all):
+#: what reaches the driver is at most their product times four bytes.
+MAX_ROWS, MAX_FEATURES = 16_000, 3_000
 GRADES = 3
 KEEP_GRADE, KEEP_TAIL = 2, 0.3
 LAMBDA, ROUNDS, RATE = 2e-4, 300, 0.1
@@ -73,6 +74,15 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(found)
 
 
+def fitted(text: str) -> np.ndarray:
+    """At most ``MAX_FEATURES`` of a text's buckets."""
+    found = features(text)
+    if len(found) <= MAX_FEATURES:
+        return found
+    order = np.argsort(mix64(found.astype(np.uint64)), kind="stable")
+    return np.sort(found[order[:MAX_FEATURES]])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -146,6 +156,7 @@ def grade(quality: str = "quality", toxic: str = "toxic"):
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fits on at most about ``max_rows`` labelled documents. Labels that contradict each other on a doc_id all count."""
     bound_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
     rated = labels.select(F.col("doc_id").alias("_rated"), grade().cast("int").alias("_grade")).where("_rated IS NOT NULL AND _grade IS NOT NULL")
     total = rated.count()
     if total > max_rows:
@@ -155,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("quality")
         for batch in batches:
-            found = [features((x or b"").decode()).tobytes() for x in as_bytes(batch.column(1))]
+            found = [fitted((x or b"").decode()).tobytes() for x in as_bytes(batch.column(1))]
             yield pa.record_batch({"doc": batch.column(0), "found": pa.array(found, pa.binary()), "grade": batch.column(2)})
 
     kind = dict(rated.dtypes)["_rated"]
@@ -163,23 +174,26 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     return fit([np.frombuffer(bytes(r.found), np.int32) for r in got], np.array([r.grade for r in got], dtype=np.int64))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of ``docs`` with _grade (expected), _tail (P(grade >= KEEP_GRADE)) and _keep; these names must be free.
+def score(docs: DataFrame, model: Model, grade: str = "_grade", tail: str = "_tail", keep: str = "_keep") -> DataFrame:
+    """All rows and columns of ``docs`` with the expected grade, P(grade >= KEEP_GRADE) and whether that is at least KEEP_TAIL, under the three names given;
+    columns of ``docs`` that have one of them are replaced.
 
-    Null and empty texts are scored as texts without words; repeated rows get equal scores; an empty table stays empty.
+    Null and empty texts are scored as texts without words; very long texts are read whole; repeated rows get equal scores; an empty table stays empty.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    at, names = docs.columns.index("text"), [*docs.columns, "_grade", "_tail", "_keep"]
+    added = (grade, tail, keep)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in {a.lower() for a in added}])
+    at, names = docs.columns.index("text"), [*docs.columns, *added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("quality")
         for batch in batches:
             tails = shared.value.tails([features((x or b"").decode()) for x in as_bytes(batch.column(at))]).round(9)
-            tail = tails[:, KEEP_GRADE - 1]
-            more = [pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= KEEP_TAIL)]
+            high = tails[:, KEEP_GRADE - 1]
+            more = [pa.array(tails.sum(axis=1)), pa.array(high), pa.array(high >= KEEP_TAIL)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names)
 
-    schema = StructType(list(docs.schema)).add("_grade", "double").add("_tail", "double").add("_keep", "boolean")
+    schema = StructType(list(docs.schema)).add(grade, "double").add(tail, "double").add(keep, "boolean")
     return docs.mapInArrow(run, schema)

@@ -52,6 +52,22 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+MINHASH_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM words),
+grams AS MATERIALIZED (SELECT doc_id, len(s) AS n, md5_number_lower(unnest(s)) AS g FROM sets),
+pairs AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id AND 4 * b.n >= 3 * a.n AND 4 * a.n >= 3 * b.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT a AS node, a AS other FROM pairs UNION SELECT r.node, p.b FROM reach r JOIN pairs p ON r.other = p.a),
+roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node)
+SELECT doc_id, len(s) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM sets LEFT JOIN roots ON node = doc_id
+"""
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_store.write_shards(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
     return token_store.read_documents(files).withColumnRenamed("key", "doc_id")
@@ -137,9 +153,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MIX_SQL = r"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM sized GROUP BY source),
+capped AS (SELECT *, source_size * 3.0::DOUBLE AS cap, sum(source_size) OVER () AS total FROM sources),
+levels AS (
+  SELECT *, (total - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level, cap / weight AS ratio, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place
+  FROM capped WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min(level, place) AS level FROM levels WHERE level <= ratio),
+goals AS (SELECT source, source_size, CASE WHEN level.level IS NULL THEN cap ELSE least(weight * level.level, cap) END AS target FROM capped LEFT JOIN level ON true),
+rates AS (
+  SELECT s.doc_id, s.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
+    ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, (least(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END, 3) * size)::BIGINT AS taken FROM rates
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_pii, op2_mpeg_audio, op3_minhash, op4_token_store, op5_line_dedup, op6_bpe_lexicon, op7_langid, op8_pivot_index, op9_ordinal_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": LINE_SQL, "op8_pivot_index": VECTOR_SQL}
+    return {"op3_minhash": MINHASH_SQL, "op5_line_dedup": LINE_SQL, "op8_pivot_index": VECTOR_SQL, "op10_mixing": MIX_SQL}

@@ -1,6 +1,7 @@
 """Dedup, mixing, language, quality and encoding against brute force on small awkward tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -132,6 +133,9 @@ def test_mixing(spark, docs):
     for s in order:
         assert goals[s] == pytest.approx(want[s]) and abs(taken[s] - goals[s]) <= 0.15 * goals[s]
     assert mixing.mix(df.limit(0)).count() == 0
+    clash = df.withColumn("_size", F.lit(77)).withColumn("_copies", F.lit("c"))
+    out = mixing.emit(clash)
+    assert out.columns == clash.columns and {(r["_size"], r["_copies"]) for r in out.collect()} == {(77, "c")}
     assert mixing.emit(docs).columns == docs.columns
 
 
@@ -148,12 +152,96 @@ def test_language(spark, docs):
     assert langid.train(docs.limit(0)).predict(["abc"]) == (["und"], [0.0])
 
 
-def test_long_texts_are_scored_in_segments(monkeypatch):
-    text = "the quick brown fox " * 50
-    whole = langid.ngrams(text.lower())
-    monkeypatch.setattr(langid, "SEGMENT", 64)
-    parts = np.concatenate([langid.ngrams(p) for p in langid.segments(text)])
-    assert set(whole) == set(parts)
+def naive_bayes(rows, texts):
+    """Languages and probabilities by counting one n-gram after another."""
+
+    def buckets(text):
+        low = text.lower()
+        for order in langid.ORDERS:
+            for i in range(len(low) - order + 1):
+                h = 0x811C9DC5 + order
+                for c in low[i : i + order]:
+                    h = (h ^ ord(c)) * 0x01000193 % 2**32
+                    h ^= h >> 15
+                yield (h * 0x9E3779B1 % 2**32) >> (32 - langid.BUCKETS.bit_length() + 1)
+
+    counts, docs = {}, {}
+    for text, lang in rows:
+        docs[lang] = docs.get(lang, 0) + 1
+        own = counts.setdefault(lang, {})
+        for x in buckets(text):
+            own[x] = own.get(x, 0) + 1
+    logs = {}
+    for lang, own in counts.items():
+        n = sum(own.values()) + langid.SMOOTHING * langid.BUCKETS
+        logs[lang] = lambda x, own=own, n=n: math.log((own.get(x, 0) + langid.SMOOTHING) / n)
+    out = []
+    for text in texts:
+        if text is None or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        seen = list(buckets(text))
+        total = {k: math.log(docs[k] / sum(docs.values())) + sum(map(f, seen)) for k, f in logs.items()}
+        best = max(sorted(total), key=total.get)
+        out.append((best, 1 / sum(math.exp(v - total[best]) for v in total.values())))
+    return out
+
+
+@pytest.mark.parametrize("segment", [64, 1 << 16])
+def test_language_against_brute_force(spark, monkeypatch, segment):
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    table = queries.table(spark, "/root/testdata/sf0.001", "documents").where("n_chars < 1500 AND doc_id < 90").collect()
+    rows = [(r.doc_id, r.text, r.lang, 1) for r in table] + [(1000 + i, t, None, 2) for i, t in enumerate([None, "", "1 2 3", "der die das", "é" * 300, "der die das"])] + [(None, "le la les", "fr", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _score int")
+    known = [(t, lang) for i, t, lang, _ in rows if i is not None and t is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    want = naive_bayes(known, [r[1] for r in rows])
+    got = langid.predict(docs.coalesce(1), langid.train(docs), lang="found").collect()
+    assert len(got) == len(rows) and got[0]["lang"] == rows[0][2]
+    for r, (i, text, _, _), (lang, score) in zip(got, rows, want, strict=True):
+        assert r.text == text and r.found == lang and r["_score"] == pytest.approx(score, abs=1e-4), i
+    assert langid.predict(docs.limit(0), langid.train(docs)).count() == 0
+
+
+def test_quality_against_brute_force(spark, docs):
+    """Scores are the sums of the weights of the distinct features; the fit is better than its neighbours."""
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (5, 0, 0), (6, 0, 1), (9, 1, 1), (10, 1, 1), (3, 0, 0), (None, 1, 1), (4, None, 0)], "doc_id long, quality int, toxic int")
+    model = ordinal_quality.train(docs, labels)
+    rows = ordinal_quality.score(docs.withColumn("_keep", F.lit("x")), model, keep="kept").collect()
+    for r in rows:
+        score = sum(model.weights[x] for x in set(ordinal_quality.features(r.text).tolist()))
+        tails = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert r._grade == pytest.approx(sum(tails), abs=1e-6) and r._tail == pytest.approx(tails[1], abs=1e-6)
+        assert r.kept == (round(tails[1], 9) >= ordinal_quality.KEEP_TAIL) and r["_keep"] == "x"
+    rng = np.random.default_rng(3)
+    found = [np.sort(rng.choice(40, 12, replace=False)).astype(np.int32) for _ in range(600)]
+    truth = np.array([sum((x < 5) * 1.0 - (x >= 35) for x in f) + rng.logistic() for f in found])
+    grades = (truth > 0).astype(int) + (truth > 1.5)
+    fit = ordinal_quality.fit(found, grades)
+
+    def loss(w, thresholds):
+        total = 0.0
+        for k, t in enumerate(thresholds, 1):
+            share = np.clip(np.mean(grades >= k), 1e-3, 1 - 1e-3)
+            z = np.array([w[f].sum() for f in found]) - t
+            side = np.where(grades >= k, np.clip(0.5 / share, 0.5, 4), np.clip(0.5 / (1 - share), 0.5, 4))
+            total += np.mean(side * np.log1p(np.exp(np.where(grades >= k, -z, z))))
+        return total + ordinal_quality.LAMBDA * np.abs(w).sum()
+
+    best = loss(fit.weights, fit.thresholds)
+    for _ in range(40):
+        step = np.zeros_like(fit.weights)
+        step[:40] = rng.normal(size=40) * 0.2
+        assert loss(fit.weights + step, fit.thresholds + rng.normal(size=2) * 0.1) > best - 1e-3
+
+
+@pytest.mark.parametrize("name", ["op3_minhash", "op10_mixing"])
+def test_queries_against_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = queries.queries()[name](spark, sf)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 200
 
 
 def test_quality_holds_out(spark, docs):
