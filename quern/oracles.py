@@ -174,9 +174,9 @@ ORACLES = {
     OR coalesce(regexp_matches(trim(lead(line, 1) OVER w), '^\d{1,4}$'), false) OR coalesce(regexp_matches(trim(lead(line, 2) OVER w), '^\d{1,4}$'), false) AS near FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n))
   SELECT doc_id, line, count(*) AS times FROM m WHERE near AND NOT own AND length(line) BETWEEN 8 AND 150 GROUP BY ALL HAVING count(*) >= 3""",
     "html_unescape_strip": r"""SELECT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM (SELECT page_id, """
-    + "replace(replace(replace(replace(replace(replace(" * 3
+    + "replace(replace(replace(replace(replace(replace(replace(replace(" * 3
     + "html"
-    + ", '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' ')" * 3
+    + ", '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·')" * 3
     + " AS h FROM pages)",
     "url_parts": r"SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, count(*) AS pages, count(DISTINCT url) AS urls FROM pages GROUP BY 1",
     "json_props_extract": "SELECT event_type, count(*) AS events, count(DISTINCT props) AS distinct_props, sum((props->>'$.k')::BIGINT) AS sum_k, round(sum(value), 4) AS total FROM events GROUP BY 1",
