@@ -1,8 +1,9 @@
 """A paged collection as a Python data source, batch and streaming.
 
 Options: ``fetcher`` names a function ``module:function(collection, token) -> (rows, next token or None)``; rows are (id, body). ``collections`` is a
-comma-separated list. A batch read has one partition for each collection. A stream's offset holds the next token of every collection, so that a restart goes on from
-the last committed page. Failed fetches are tried again ``tries`` times with doubling pauses; :class:`StaleToken` restarts its collection.
+comma-separated list. A batch read has one partition for each collection. A stream's offset holds number and token of the next page of every collection, so that a restart
+goes on from the last committed page. Failed fetches are tried again ``tries`` times with doubling pauses. After :class:`StaleToken` a collection is walked again from its
+start up to the page that was wanted, and the pages before it are not given again. Of rows that stand on two neighbouring pages the first counts; what is kept is the ids of one page.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 SCHEMA = "collection string, page int, id string, body string"
 
 
+#: The offset of a collection that has been read to its end.
+COMPLETE = "\0"
+
+
 class StaleToken(Exception):
     """The server no longer knows the token."""
 
@@ -54,8 +59,8 @@ class PagedReader(DataSourceReader):
         return [Collection(c.strip()) for c in self.options["collections"].split(",") if c.strip()]
 
     def read(self, partition: Collection) -> Iterator[tuple]:
-        fetch, token, page, restarts = fetcher(self.options["fetcher"]), None, 0, 0
-        seen: set[str] = set()
+        fetch, token, page, done, restarts = fetcher(self.options["fetcher"]), None, 0, 0, 0
+        before: set[str] = set()
         while True:
             try:
                 rows, token = patient(fetch, partition.name, token, int(self.options.get("tries", 5)), float(self.options.get("pause", 1)))
@@ -65,10 +70,13 @@ class PagedReader(DataSourceReader):
                     raise
                 token, page = None, 0
                 continue
-            for key, body in rows:
-                if key not in seen:  # pages may overlap
-                    seen.add(key)
-                    yield partition.name, page, key, body
+            if page == done:
+                own: set[str] = set()
+                for key, body in rows:
+                    if key not in before and key not in own:
+                        yield partition.name, page, key, body
+                    own.add(key)
+                before, done = own, page + 1
             page += 1
             if token is None:
                 return
@@ -82,19 +90,27 @@ class PagedStream(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {c: "" for c in self.names}
 
-    def _page(self, collection: str, token: str) -> tuple[list, str]:
-        if token == "\0":  # complete
-            return [], token
-        rows, nxt = patient(fetcher(self.options["fetcher"]), collection, token or None, int(self.options.get("tries", 5)), float(self.options.get("pause", 1)))
-        return [(collection, 0, k, b) for k, b in rows], "\0" if nxt is None else nxt
+    def _page(self, collection: str, at: str) -> tuple[list, str]:
+        """The page at an offset and the offset behind it. A token that the server forgot is found again by walking from the start."""
+        if at == COMPLETE:
+            return [], at
+        fetch, tries, pause = fetcher(self.options["fetcher"]), int(self.options.get("tries", 5)), float(self.options.get("pause", 1))
+        number, _, token = at.partition("\t")
+        page = int(number or 0)
+        try:
+            rows, token = patient(fetch, collection, token or None, tries, pause)
+        except StaleToken:
+            token = None
+            for step in range(page + 1):
+                rows, token = patient(fetch, collection, token, tries, pause)
+                if token is None and step < page:  # the collection has become shorter
+                    return [], COMPLETE
+        return [(collection, page, k, b) for k, b in rows], COMPLETE if token is None else f"{page + 1}\t{token}"
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows, end = [], {}
         for c in self.names:
-            try:
-                got, end[c] = self._page(c, start.get(c, ""))
-            except StaleToken:
-                got, end[c] = [], ""
+            got, end[c] = self._page(c, start.get(c, ""))
             rows += got
         return iter(rows), end
 

@@ -152,3 +152,26 @@ def test_changes_and_terms(spark):
     docs = spark.createDataFrame([("h1", "Mutace genu TP53 a\nBRCA1"), ("h2", "gen TP 53")], "doc_id string, text string")
     terms = spark.createDataFrame([("tp53",), ("TP53 a BRCA1",), ("egfr",)], "term string")
     assert rows(E.term_holders(terms, docs), "term") == [("TP53 a BRCA1", "h1"), ("tp53", "h1")]
+
+
+def test_groups_and_terms_of_the_contract(spark):
+    """Status before grade, rigorous theses, terms of several words, commas after authors."""
+    got = spark.createDataFrame([("O", "Neprospěl"), ("U", "Výborně"), ("N", None), (None, "Uznáno"), (None, "Uznáno zčásti"), ("", "Nedostatečně"), ("O", None), (None, "")], "s string, g string")
+    assert [r.o for r in got.select(E.outcome(F.col("s"), F.col("g")).alias("o")).collect()] == ["O", "U", "N", "U", "O", "N", "O", None]
+    shape = "doc_id int, thesis_type string, outcome string, title string, author string"
+    members = spark.createDataFrame(
+        [(1, "diplomová práce", "O", "Straße", "Novák, J.,"), (2, "Rigorózní práce", "O", "STRASSE!", "Novák J. "), (3, "bakalářská práce", "O", "Film", "A"), (4, "diplomová práce", "O", "ﬁlm", "A,"), (5, "x", "O", "", "B"), (6, "x", "O", "", "B")], shape
+    )
+    assert {(r.same_work, r.shape) for r in E.same_work(E.same_title_groups(members)).collect()} == {(True, "rigorous thesis"), (False, "rigorous thesis")}
+    docs = spark.createDataFrame([(1, "the bathe catalog"), (2, "He saw the\ncat."), (3, None), (4, "the CAT – the")], "doc_id int, text string")
+    terms = spark.createDataFrame([("the cat",), ("cat",), ("cat - the",), (None,), ("...",)], "term string")
+    assert {(r.term, r.doc_id) for r in E.term_holders(terms, docs).collect()} == {("the cat", 2), ("the cat", 4), ("cat", 2), ("cat", 4), ("cat - the", 4)}
+
+
+def test_plan_order_and_medians(spark):
+    rows, first = spark.range(500).withColumnRenamed("id", "doc_id"), spark.createDataFrame([(7, 2), (9, 1)], "doc_id long, priority int")
+    got = {r.doc_id: r.pos for r in E.plan_order(rows, first).collect()}
+    assert (got[9], got[7]) == (1, 2) and sorted(got.values()) == list(range(1, 501))
+    values = [("a", float(x)) for x in (5, 1, 4, 2)] + [("b", 3.0)] * 5 + [("c", None), ("d", 1e9), ("d", -1.0), ("d", 0.0)]
+    got = {r.k: (r["median"], r.upper_median) for r in C.medians(spark.createDataFrame(values, "k string, v double"), "k", "v").collect()}
+    assert got == {"a": (3.0, 4.0), "b": (3.0, 3.0), "d": (0.0, 0.0)}

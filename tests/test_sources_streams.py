@@ -97,3 +97,41 @@ def test_a_setup_answers_like_its_plan(spark):
 
     want = S.best_chunk(S.rrf([d.lexical(), d.semantic()]), 100)
     assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 0
+
+
+class _Server:
+    """Pages of a collection whose tokens are forgotten once."""
+
+    def __init__(self, forget):
+        self.forget, self.asked = forget, []
+
+    def __call__(self, collection, token):
+        from quern.sources.paged import StaleToken
+
+        self.asked.append(token)
+        page = int(token or 0)
+        if token in self.forget:
+            self.forget.remove(token)
+            raise StaleToken
+        rows = [(f"{collection}{page}", "b"), (f"{collection}{page + 1}", "b")]  # neighbours overlap
+        return rows, None if page == 3 else str(page + 1)
+
+
+def test_forgotten_tokens(monkeypatch):
+    from quern.sources import paged
+
+    server = _Server({"2"})
+    monkeypatch.setattr(paged, "fetcher", lambda name: server)
+    rows = list(paged.PagedReader({"collections": "a", "fetcher": "x"}).read(paged.Collection("a")))
+    assert [(r[1], r[2]) for r in rows] == [(0, "a0"), (0, "a1"), (1, "a2"), (2, "a3"), (3, "a4")]
+    stream = paged.PagedStream({"collections": "a", "fetcher": "x"})
+    at, pages = stream.initialOffset(), []
+    for _ in range(5):
+        server.forget = {"3"} if len(pages) == 3 else set()
+        got, end = stream.read(at)
+        got = list(got)
+        server.forget = {"1"} if len(pages) == 1 else set()
+        assert list(stream.readBetweenOffsets(at, end)) == got
+        pages.append([r[1] for r in got])
+        at = end
+    assert pages == [[0, 0], [1, 1], [2, 2], [3, 3], []] and at == {"a": paged.COMPLETE}
