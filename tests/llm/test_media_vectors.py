@@ -1,7 +1,9 @@
 """Media streams, vectors, hashing and components on hand-made cases."""
 
+import hashlib
 import os
 import random
+import zlib
 from fractions import Fraction
 
 import duckdb
@@ -125,3 +127,16 @@ def test_perfect_hash():
     assert len(index.to_bytes()) * 8 / len(keys) < 5 and PerfectHash.build(keys[:0]).lookup(keys[:3]).tolist() == [-1] * 3
     with pytest.raises(ValueError):
         PerfectHash.build(np.array([1, 1], dtype=np.uint64))
+
+
+def test_media_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r for r in queries.op2_mpeg_audio(spark, sf).collect()}
+    docs = queries.table(spark, sf, "documents").collect()
+    assert len(rows) == len(docs)
+    by_text = {}
+    for d in docs:
+        raw, r = (d.text or "").encode(), rows[d.doc_id]
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert r.media_bytes > r.payload_bytes and by_text.setdefault(raw, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
