@@ -4,6 +4,7 @@ function for: those are pandas UDFs over Arrow batches."""
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -70,8 +71,10 @@ def _each(function, series: pd.Series) -> pd.Series:
 
 
 def _key(text: str) -> str:
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
-    return " ".join("".join(c if c.isalnum() else " " for c in plain).split())
+    plain = text.casefold()
+    if not plain.isascii():
+        plain = "".join([c for c in unicodedata.normalize("NFKD", plain) if c < _FIRST_MARK or not unicodedata.combining(c)])
+    return _SIGNS.sub(" ", plain).strip()
 
 
 def _typed(text: str) -> str:
@@ -84,6 +87,7 @@ def _unescaped(text: str) -> str:
     return text
 
 
+_SIGNS, _FIRST_MARK = re.compile(r"[\W_]+"), "\u0300"
 _DASHED = str.maketrans(dict.fromkeys(DASHES, "-"))
 _LIGATED = str.maketrans(LIGATURES)
 

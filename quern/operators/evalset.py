@@ -174,7 +174,8 @@ def _holding(shared):
                 plain = T._typed(text or "")
                 tokens = set(WORDS.findall(plain))
                 keys = tokens & shared.value.keys()
-                out.append([term for k in keys for term, typed, words in shared.value[k] if words <= tokens and typed in plain])
+                # A term that is one token is in the text if the token is.
+                out.append([term for k in keys for term, typed, words in shared.value[k] if typed == k or (words <= tokens and typed in plain)])
             yield pd.Series(out)
 
     return F.pandas_udf(held, "array<string>")

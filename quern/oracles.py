@@ -148,8 +148,8 @@ ORACLES = {
   SELECT query_id, d - d % 2 AS doc_id, min(rank) AS r FROM (SELECT query_id, doc_id AS d, rank FROM lex_docs) WHERE (d - d % 2) % 3 <> 0 GROUP BY ALL)) WHERE rank <= 20""",
     "near_duplicate_groups": r"""SELECT md5(key) AS grp, count(*) AS members, min(doc_id) AS first_doc FROM (SELECT doc_id, trim(regexp_replace(strip_accents(replace(lower(text), 'ß', 'ss')), '[^\p{L}\p{N}]+', ' ', 'g')) || '|' || source AS key FROM documents) WHERE key NOT LIKE '|%' GROUP BY key HAVING count(*) > 1""",
     "representative_argmax": "SELECT grp, arg_max(doc_id, (doc_id % 7 = 0, doc_id % 3 <> 0, n_chars, doc_id)) AS representative FROM (SELECT *, source || lang AS grp FROM documents) WHERE doc_id % 11 <> 0 GROUP BY 1",
-    "exact_term_holders": r"""WITH i AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark), t AS (SELECT DISTINCT term FROM (SELECT unnest(w || list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS term FROM i WHERE len(w) > 1)),
-  ts AS (SELECT term, replace(term, 'ß', 'ss') AS plain, regexp_extract_all(replace(term, 'ß', 'ss'), '[\p{L}\p{N}_]+') AS words FROM t), d AS (SELECT doc_id, trim(regexp_replace(replace(lower(translate(nfc_normalize(text), '‐‑–', '---')), 'ß', 'ss'), '\s+', ' ', 'g')) AS s FROM documents),
+    "exact_term_holders": r"""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark UNION SELECT text FROM benchmark),
+  tp AS (SELECT term, trim(regexp_replace(replace(lower(translate(nfc_normalize(term), '‐‑–', '---')), 'ß', 'ss'), '\s+', ' ', 'g')) AS plain FROM t), ts AS (SELECT *, regexp_extract_all(plain, '[\p{L}\p{N}_]+') AS words FROM tp), d AS (SELECT doc_id, trim(regexp_replace(replace(lower(translate(nfc_normalize(text), '‐‑–', '---')), 'ß', 'ss'), '\s+', ' ', 'g')) AS s FROM documents),
   k AS (SELECT doc_id, s, list_distinct(regexp_extract_all(s, '[\p{L}\p{N}_]+')) AS toks FROM d)
   SELECT term, count(*) AS holders FROM (SELECT doc_id, s, toks, unnest(toks) AS first FROM k) JOIN ts ON ts.words[1] = first WHERE list_has_all(toks, words) AND contains(s, plain) GROUP BY 1""",
     "copy_share": r"""SELECT doc_id, round(CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(a) END, 6) AS share FROM (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(i.text), '[\p{L}\p{N}_]+'), lambda t: length(t) >= 3)) AS a,

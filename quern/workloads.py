@@ -272,9 +272,8 @@ def representative_argmax(d: Data) -> DataFrame:
 
 @query
 def exact_term_holders(d: Data) -> DataFrame:
-    words = T.tokens(F.col("text"))
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    terms = d.benchmark.where(F.size(words) > 1).select(F.explode(F.concat(words, pairs)).alias("term")).distinct()
+    """Each token of the items and each whole item."""
+    terms = d.benchmark.select(F.explode(F.concat(T.tokens(F.col("text")), F.array("text"))).alias("term")).distinct()
     return E.term_holders(terms, d.documents).groupBy("term").agg(F.count("*").alias("holders"))
 
 
