@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -97,12 +98,18 @@ def keep(owner: str, *caches: dict) -> None:
 
 
 def only(owner: str) -> None:
-    """Empties the caches of all other operators: a worker that runs several one after another keeps one's."""
+    """Empties the caches of all other operators: a worker that runs several one after another keeps one's.
+
+    What the allocators of Arrow and of C still hold of earlier tasks goes back to the system, so that it does not add to the JVM's share."""
     for name, caches in _KEPT.items():
         if name != owner and any(caches):
             for cache in caches:
                 cache.clear()
             gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def hidden(df: DataFrame, stem: str) -> str:
