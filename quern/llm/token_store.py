@@ -136,26 +136,25 @@ def library_encoder(tokenizer_json: str, width: int):
     raw = lambda x: array(code, x.ids).tobytes()
     if not word_bpe.applies(spec):
         return lambda texts: [raw(own.encode((t or b"").decode(), add_special_tokens=False)) for t in texts]
-    bare, letters = Tokenizer(own.model), dict(enumerate(word_bpe.byte_letters()))
+    bare, letters = Tokenizer(own.model), dict(enumerate(word_bpe.byte_letters())) | {0x20: " "}  # the space parts pieces, which have none
     bare.pre_tokenizer = WhitespaceSplit()  # no letter that stands for a byte is white space
     # The last id of a piece, and no other, has the mark of a word's end: pieces never hold both signs and letters.
     final = np.array([x.endswith(word_bpe.WORD_END.encode()) for x in word_bpe.pieces_by_id(spec)])
 
-    def spelled(piece: bytes | str) -> str:
-        text = piece.decode("latin-1") if isinstance(piece, bytes) else piece
-        return text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(letters)
-
     def pieces(found: list[bytes | str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(found), 5000):
             part = found[at : at + 5000]
-            made = bare.encode_batch_fast([" ".join(map(spelled, part))], add_special_tokens=False)[0]
+            text = " ".join([p if isinstance(p, str) else p.decode("latin-1") for p in part])
+            if not (text.isascii() and text.isprintable()):
+                text = text.encode().decode("latin-1").translate(letters)
+            made = bare.encode_batch_fast([text], add_special_tokens=False)[0]
             ids = np.array(made.ids, dtype=f"<u{width}")
             ends = (np.flatnonzero(final[ids]) + 1) * width
             if len(ends) != len(part):
                 raise ValueError("a piece has no end or several")
-            text = ids.tobytes()
-            out += [text[i:j] for i, j in pairwise([0, *ends.tolist()])]
+            raw = ids.tobytes()
+            out += [raw[i:j] for i, j in pairwise([0, *ends.tolist()])]
         return out
 
     split = word_bpe.Splitter(word_bpe.special_tokens(spec))

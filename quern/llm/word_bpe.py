@@ -11,8 +11,11 @@ import json
 import re
 import unicodedata
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: What the tokenizer file must say for this module to apply.
@@ -64,6 +67,8 @@ _LETTER, _NUMBER, _SPACE = (
 )
 _LATIN = re.compile(f"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+".encode("latin-1"))
 _WIDE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+# The same for many words at once, one a line: the line ends are found too.
+_LATIN_LINES, _WIDE_LINES = re.compile(_LATIN.pattern + rb"|\n"), regex.compile(_WIDE.pattern + r"|\n")
 
 
 class Splitter:
@@ -80,6 +85,15 @@ class Splitter:
             # One letter is lowered by its place in a word in Python but not in the vocabulary's normalizer.
             return _WIDE.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
+    def lines(self, words: list[bytes], latin: bool) -> list:
+        """The pieces of words (UTF-8, without white space of ASCII) in their order, with a line end behind each word; ``latin``: all words are Latin-1.
+
+        No piece crosses a line end and no letter changes by one, so they are the pieces of each word by itself."""
+        text = b"".join([w + b"\n" for w in words]).decode()
+        if latin:
+            return _LATIN_LINES.findall(text.encode("latin-1").translate(_LOWER))
+        return _WIDE_LINES.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
     def __call__(self, text: str) -> list:
         if self.marks is None or not self.marks.search(text):
             return self.plain(text)
@@ -151,8 +165,11 @@ class Merger:
             lowest = ranks[rows, best]
             done = lowest == self.none
             if done.any():
-                for i, row in zip(picked[done], symbols[done], strict=True):
-                    out[i] = row[row >= 0]
+                ready = symbols[done]
+                held = ready >= 0
+                ids, ends = ready[held], np.cumsum(held.sum(axis=1)).tolist()
+                for i, start, end in zip(picked[done].tolist(), [0, *ends], ends, strict=False):
+                    out[i] = ids[start:end]
                 keep = ~done
                 picked, symbols, ranks, best, lowest = picked[keep], symbols[keep], ranks[keep], best[keep], lowest[keep]
                 if not len(picked):
@@ -197,42 +214,27 @@ class Merger:
                 push(i, after[i])
             if before[i] >= 0:
                 push(before[i], i)
-        return np.array([x for x in ids if x >= 0], dtype=np.int64)
+        return np.array([x for x in ids if x >= 0], dtype=np.int32)
 
 
-def lowered_words(text: bytes) -> list[bytes]:
-    """The white-space words of a text (UTF-8) with ASCII letters in lower case, where NFC gives the same for both cases.
+def lowered(text: bytes) -> bytes:
+    """A text (UTF-8) with ASCII letters in lower case, where NFC gives the same for both cases.
 
     Of some letters only the small one has a composed form (t and U+0308). Marks that compose with ASCII letters are in
     U+0300 to U+036F, whose first bytes are 0xCC and 0xCD: in a text that has them only words of ASCII are lowered.
     """
     if b"\xcc" in text or b"\xcd" in text:
-        return [w.lower() if w.isascii() else w for w in text.split()]
-    return text.lower().split()
-
-
-class _Known(dict):
-    """Ids by word. An unknown word gets an empty place, listed in ``new``, that is filled once it is known. Words of ``old``, the generation before, move over when they are met."""
-
-    def __init__(self, old: dict[bytes, bytes]) -> None:
-        super().__init__()
-        self.old, self.new, self.size = old, {}, 0
-
-    def __missing__(self, word: bytes) -> bytes | bytearray:
-        place = self.old.get(word)
-        if place is None:
-            place = self.new[word] = bytearray()
-        self[word] = place
-        return place
+        return b" ".join([w.lower() if w.isascii() else w for w in text.split()])
+    return text.lower()
 
 
 class Encoder:
     """Encodes texts by the white-space words in them; each distinct word of a chunk of texts is encoded once.
 
     ``encode_words`` gives the raw ids of whole words (UTF-8). No piece crosses white space and ASCII letters are lowered first only where that
-    changes nothing (``lowered_words``), so the ids of a text are those of its words in order; a text that may hold a special token goes to
-    ``encode_text`` as a whole. Words are kept from chunk to chunk in two generations of ``most_bytes`` each (0: none are kept), which saves work
-    and changes no result: the frequent ones are met again and move on, the others go.
+    changes nothing (``lowered``), so the ids of a text are those of its words in order; a text that may hold a special token goes to
+    ``encode_text`` as a whole. Arrow splits a chunk, numbers its distinct words and puts their ids in order. Words are kept from chunk to chunk in two
+    generations of ``most_bytes`` each (0: none are kept), which saves work and changes no result: the frequent ones are met again and move on, the others go.
     """
 
     #: Bytes of texts that are looked up together, and what an entry of the cache takes besides its bytes.
@@ -242,24 +244,39 @@ class Encoder:
 
     def __init__(self, encode_words, encode_text, most_bytes: int = 0) -> None:
         self.encode_words, self.encode_text, self.most_bytes = encode_words, encode_text, most_bytes
-        self.words = _Known({})
+        self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        out = list(map(self.words.get, words))
+        unseen, met = [], []
+        for i, ids in enumerate(out):
+            if ids is None:
+                ids = out[i] = self.old.get(words[i]) if words[i] else b""
+                (unseen if ids is None else met).append(i)
+        for i, ids in zip(unseen, self.encode_words([words[i] for i in unseen]), strict=True):
+            out[i] = ids
+        if self.most_bytes:
+            for i in met + unseen:
+                if len(words[i]) <= self.LONGEST:
+                    self.words[words[i]] = out[i]
+                    self.size += len(words[i]) + len(out[i]) + self.ENTRY
+            if self.size > self.most_bytes:
+                self.words, self.old, self.size = {}, self.words, 0
+        return out
 
     def _chunk(self, texts: list[bytes]) -> list[bytes]:
-        known, parts = self.words, []
-        for t in texts:
-            parts.append(None if b"<|" in t else list(map(known.__getitem__, lowered_words(t))))
-        new, known.new = known.new, {}
-        for (word, place), ids in zip(new.items(), self.encode_words(list(new)), strict=True):
-            place += ids
-            if len(word) <= self.LONGEST:
-                known[word] = ids
-                known.size += len(word) + len(ids)
-            else:
-                del known[word]
-        out = [self.encode_text(t) if x is None else b"".join(x) for t, x in zip(texts, parts, strict=True)]
-        if known.size + self.ENTRY * len(known) > self.most_bytes:
-            self.words = _Known(dict(known) if self.most_bytes else {})
-        return out
+        whole = [b"<|" in t for t in texts]
+        plain = pa.array([b"" if w else lowered(t) for t, w in zip(texts, whole, strict=True)], pa.large_binary())
+        cut = pc.ascii_split_whitespace(plain.view(pa.large_string()))
+        coded = cut.values.dictionary_encode()
+        ids = pa.array(self._ids(coded.dictionary.view(pa.large_binary()).to_pylist()), pa.large_binary()).take(coded.indices)
+        _, ends, raw = ids.buffers()
+        ends = np.frombuffer(ends, np.int64, len(ids) + 1)[cut.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+        raw = memoryview(raw or b"")
+        return [self.encode_text(t) if w else bytes(raw[i:j]) for t, w, (i, j) in zip(texts, whole, pairwise(ends), strict=True)]
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text (null: none) in little-endian order."""
@@ -276,7 +293,9 @@ class Encoder:
 
 
 def by_pieces(split: Splitter, encode_pieces, dtype: str):
-    """(encode_words, encode_text) for ``Encoder`` from a function that gives the raw ids of distinct pieces (Latin-1 bytes, or str)."""
+    """(encode_words, encode_text) for ``Encoder`` from a function that gives the raw ids of distinct pieces (Latin-1 bytes, or str).
+
+    Words are cut all together; each distinct piece of them is encoded once."""
     special = np.dtype(dtype).type
 
     def joined(cut: list[list]) -> list[bytes]:
@@ -289,7 +308,22 @@ def by_pieces(split: Splitter, encode_pieces, dtype: str):
         ]
 
     def words(found: list[bytes]) -> list[bytes]:
-        return joined([split.plain(w.decode()) for w in found])
+        # Latin-1 in UTF-8 has no byte above 0xC3.
+        latin = np.fromiter((w.isascii() or max(w) < 0xC4 for w in found), bool, len(found))
+        groups = [(np.flatnonzero(latin).tolist(), True), (np.flatnonzero(~latin).tolist(), False)]
+        cut = [split.lines([found[i] for i in own], narrow) for own, narrow in groups]
+        every = list((dict.fromkeys(cut[0]) | dict.fromkeys(cut[1])).keys() - {b"\n", "\n"})
+        raw = [b"", b"", *encode_pieces(every)]
+        number = {b"\n": 0, "\n": 1} | dict(zip(every, range(2, len(raw)), strict=True))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        out: list[bytes] = [b""] * len(found)
+        for (own, _), pieces in zip(groups, cut, strict=True):
+            places = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+            ids = b"".join(map(raw.__getitem__, places.tolist()))
+            ends = np.cumsum(sizes[places])[places < 2].tolist()
+            for i, start, end in zip(own, [0, *ends[:-1]], ends, strict=False):
+                out[i] = ids[start:end]
+        return out
 
     return words, lambda text: joined([split(text.decode())])[0]
 

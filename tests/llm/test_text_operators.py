@@ -316,6 +316,27 @@ def test_whole_texts_of_a_table_like_the_library(spark, tokenizer, monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encoder()(raw)] == want
 
 
+def no_single_words(monkeypatch):
+    """From now on a word that is cut by itself fails."""
+
+    def fails(self, text):
+        raise AssertionError(f"{text!r} was cut by itself")
+
+    monkeypatch.setattr(word_bpe.Splitter, "plain", fails)
+
+
+MANY_WORDS = [f"Wörd{i}, W{i}'s x\x85Y{i}\tžluť{i}É \x00Σ{i}ΟΣ's DON'T\xa0{i}" for i in range(300)] + ["", None, "\x85\xa0", "a\u0301b\u0301 é", "y" * 200 + " " + "ž" * 200]
+
+
+def test_token_store_cuts_words_together(tokenizer, monkeypatch):
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in MANY_WORDS]
+    no_single_words(monkeypatch)
+    encode = token_store.library_encoder(open(queries.tokenizer_path(), encoding="utf-8").read(), 2)
+    for _ in range(2):  # the second time from the cache
+        assert [np.frombuffer(x, "<u2").tolist() for x in encode([t and t.encode() for t in MANY_WORDS])] == want
+    assert encode([]) == []
+
+
 def test_token_shards(docs, tokenizer):
     files = token_store.write_shards(docs, queries.tokenizer_path(), shard_ids=2000)
     got = sorted(((r.start, r.key, r.n_tokens, r.ids_crc32) for r in token_store.read_documents(files).collect()))
