@@ -230,7 +230,7 @@ class Lexicon:
 
 
 def _merged(merger: word_bpe.Merger):
-    return lambda pieces: [np.asarray(x, dtype="<u4").tobytes() for x in merger.merge([word_bpe.utf8(p) for p in pieces])]
+    return lambda pieces: [x.astype("<u4", copy=False).tobytes() for x in merger.merge([word_bpe.utf8(p) for p in pieces])]
 
 
 _ENCODERS: dict[str, word_bpe.Encoder] = {}

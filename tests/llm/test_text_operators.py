@@ -337,6 +337,15 @@ def test_token_store_cuts_words_together(tokenizer, monkeypatch):
     assert encode([]) == []
 
 
+def test_lexicon_cuts_words_together(tokenizer, monkeypatch):
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in MANY_WORDS]
+    no_single_words(monkeypatch)
+    lex = lexicon.Lexicon(open(queries.tokenizer_path(), encoding="utf-8").read(), sorted({f"w{i}'s".encode() for i in range(0, 300, 2)}))
+    for _ in range(2):  # the second time with merged words
+        ids = lex.encoder()([t and t.encode() for t in MANY_WORDS])
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids] == want
+
+
 def test_token_shards(docs, tokenizer):
     files = token_store.write_shards(docs, queries.tokenizer_path(), shard_ids=2000)
     got = sorted(((r.start, r.key, r.n_tokens, r.ids_crc32) for r in token_store.read_documents(files).collect()))
