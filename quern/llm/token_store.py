@@ -20,7 +20,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -116,8 +115,12 @@ class Shard:
         return self.payload[start : start + int(self.lengths[slot])]
 
 
-#: Bytes of one generation of known words in a worker.
-WORD_BYTES = 40 << 20
+#: Bytes of known pieces in a worker.
+WORD_BYTES = 24 << 20
+#: Chunks of ``word_bpe.Encoder`` whose words are looked up together.
+CHUNKS = 4
+#: Pieces that the library encodes as one text, and texts of one call: a long text costs it more a piece.
+PART, CALL = 50, 50
 
 
 def library_encoder(tokenizer_json: str, width: int):
@@ -136,36 +139,51 @@ def library_encoder(tokenizer_json: str, width: int):
     raw = lambda x: array(code, x.ids).tobytes()
     if not word_bpe.applies(spec):
         return lambda texts: [raw(own.encode((t or b"").decode(), add_special_tokens=False)) for t in texts]
-    bare, letters = Tokenizer(own.model), dict(enumerate(word_bpe.byte_letters())) | {0x20: " "}  # the space parts pieces, which have none
+    bare = Tokenizer(own.model)
     bare.pre_tokenizer = WhitespaceSplit()  # no letter that stands for a byte is white space
+    letters = np.array([ord(x) for x in word_bpe.byte_letters()], "<u4")
+    letters[0x20] = 0x20  # the space parts pieces, which have none
     # The last id of a piece, and no other, has the mark of a word's end: pieces never hold both signs and letters.
     final = np.array([x.endswith(word_bpe.WORD_END.encode()) for x in word_bpe.pieces_by_id(spec)])
 
-    def pieces(found: list[bytes | str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(found), 5000):
-            part = found[at : at + 5000]
-            text = " ".join([p if isinstance(p, str) else p.decode("latin-1") for p in part])
-            if not (text.isascii() and text.isprintable()):
-                text = text.encode().decode("latin-1").translate(letters)
-            made = bare.encode_batch_fast([text], add_special_tokens=False)[0]
-            ids = np.array(made.ids, dtype=f"<u{width}")
-            ends = (np.flatnonzero(final[ids]) + 1) * width
-            if len(ends) != len(part):
-                raise ValueError("a piece has no end or several")
-            raw = ids.tobytes()
-            out += [raw[i:j] for i, j in pairwise([0, *ends.tolist()])]
-        return out
+    def spelled(part: list[bytes]) -> str:
+        text = b" ".join(part)
+        plain = text.decode("latin-1")
+        return plain if text.isascii() and plain.isprintable() else letters[np.frombuffer(text, np.uint8)].tobytes().decode("utf-32-le")
+
+    def pieces(found: pa.Array) -> pa.Array:
+        ids, listed = [np.zeros(0, f"<u{width}")], found.to_pylist()
+        texts = [spelled(listed[at : at + PART]) for at in range(0, len(listed), PART)]
+        for at in range(0, len(texts), CALL):
+            made = bare.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False)
+            ids += [np.array(x.ids, f"<u{width}") for x in made]
+        ids = np.concatenate(ids)
+        ends = np.append(0, np.flatnonzero(final[ids]) + 1) * width
+        if len(ends) != len(found) + 1:
+            raise ValueError("a piece has no end or several")
+        return pa.Array.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
 
     split = word_bpe.Splitter(word_bpe.special_tokens(spec))
-    words, _ = word_bpe.by_pieces(split, pieces, f"<u{width}")
-    return word_bpe.Encoder(words, lambda text: raw(own.encode(text.decode(), add_special_tokens=False)), WORD_BYTES)
+    return word_bpe.PieceEncoder(split, pieces, lambda text: raw(own.encode(text.decode(), add_special_tokens=False)), WORD_BYTES, CHUNKS)
 
 
 _ENCODERS: dict = {}
 keep("tokens", _ENCODERS)
 
 
+def together(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Batches in their order, as many together as have ``most`` bytes."""
+    part, size = [], 0
+    for batch in batches:
+        part.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(part)
+            part, size = [], 0
+    if part:
+        yield pa.Table.from_batches(part)
+
+
 def write_shards(
     docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, key: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS
 ) -> DataFrame:
@@ -207,8 +225,8 @@ def write_shards(
             start, seq, keys, ids, held = start + held, seq + 1, [], [], 0
             return pa.RecordBatch.from_pydict(row, schema=LIST)
 
-        for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), encode(as_bytes(batch.column(1))), strict=True):
+        for part in together(batches, CHUNKS * word_bpe.Encoder.CHUNK):
+            for k, raw in zip(part.column(0).to_pylist(), encode(as_bytes(part.column(1))), strict=True):
                 keys.append(k)
                 ids.append(raw + end)
                 held += len(ids[-1]) // width

@@ -71,6 +71,13 @@ _WIDE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p
 _LATIN_LINES, _WIDE_LINES = re.compile(_LATIN.pattern + rb"|\n"), regex.compile(_WIDE.pattern + r"|\n")
 
 
+def joined(strings: pa.Array) -> bytes:
+    """The bytes of an array of large strings or binaries without nulls, one after another."""
+    _, ends, raw = strings.buffers()
+    first, last = np.frombuffer(ends, np.int64)[[strings.offset, strings.offset + len(strings)]] if len(strings) else (0, 0)
+    return bytes(memoryview(raw)[first:last]) if last else b""
+
+
 class Splitter:
     """Cuts texts into pieces: Latin-1 bytes, str where a text needs more than Latin-1, int ids of special tokens."""
 
@@ -94,6 +101,17 @@ class Splitter:
             return _LATIN_LINES.findall(text.encode("latin-1").translate(_LOWER))
         return _WIDE_LINES.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
+    def cut(self, text: bytes, latin: bool) -> pa.Array:
+        """As ``lines`` of a text of words with a line end behind each: their pieces in UTF-8."""
+        if text.isascii():
+            return pa.array(_LATIN_LINES.findall(text.translate(_LOWER)), pa.large_binary())
+        if not latin:
+            return pa.array(_WIDE_LINES.findall(unicodedata.normalize("NFC", text.decode()).replace("Σ", "σ").lower()), pa.large_string()).view(pa.large_binary())
+        found = pa.array(_LATIN_LINES.findall(text.decode().encode("latin-1").translate(_LOWER)), pa.large_binary())
+        ends, raw = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1), joined(found)
+        ends = ends + np.append(0, np.cumsum(np.frombuffer(raw, np.uint8) >= 0x80))[ends]  # such a letter takes two bytes in UTF-8
+        return pa.Array.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(raw.decode("latin-1").encode())])
+
     def __call__(self, text: str) -> list:
         if self.marks is None or not self.marks.search(text):
             return self.plain(text)
@@ -229,7 +247,7 @@ def lowered(text: bytes) -> bytes:
 
 
 class Encoder:
-    """Encodes texts by the white-space words in them; each distinct word of a chunk of texts is encoded once.
+    """Encodes texts by the white-space words in them; each distinct word of a chunk of texts (``chunks`` times ``CHUNK`` bytes) is encoded once.
 
     ``encode_words`` gives the raw ids of whole words (UTF-8). No piece crosses white space and ASCII letters are lowered first only where that
     changes nothing (``lowered``), so the ids of a text are those of its words in order; a text that may hold a special token goes to
@@ -242,8 +260,9 @@ class Encoder:
     #: Longer words are not kept.
     LONGEST = 64
 
-    def __init__(self, encode_words, encode_text, most_bytes: int = 0) -> None:
+    def __init__(self, encode_words, encode_text, most_bytes: int = 0, chunks: int = 1) -> None:
         self.encode_words, self.encode_text, self.most_bytes = encode_words, encode_text, most_bytes
+        self.chunk = chunks * self.CHUNK
         self.words: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.size = 0
@@ -267,12 +286,16 @@ class Encoder:
                 self.words, self.old, self.size = {}, self.words, 0
         return out
 
+    def _distinct(self, words: pa.Array) -> pa.Array:
+        """The ids of an array of distinct words."""
+        return pa.array(self._ids(words.view(pa.large_binary()).to_pylist()), pa.large_binary())
+
     def _chunk(self, texts: list[bytes]) -> list[bytes]:
         whole = [b"<|" in t for t in texts]
         plain = pa.array([b"" if w else lowered(t) for t, w in zip(texts, whole, strict=True)], pa.large_binary())
         cut = pc.ascii_split_whitespace(plain.view(pa.large_string()))
         coded = cut.values.dictionary_encode()
-        ids = pa.array(self._ids(coded.dictionary.view(pa.large_binary()).to_pylist()), pa.large_binary()).take(coded.indices)
+        ids = self._distinct(coded.dictionary).take(coded.indices)
         _, ends, raw = ids.buffers()
         ends = np.frombuffer(ends, np.int64, len(ids) + 1)[cut.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
         raw = memoryview(raw or b"")
@@ -286,12 +309,79 @@ class Encoder:
         for t in texts:
             part.append(t or b"")
             size += len(part[-1])
-            if size >= self.CHUNK:
+            if size >= self.chunk:
                 out += self._chunk(part)
                 part, size = [], 0
         return out + self._chunk(part)
 
 
+class PieceEncoder(Encoder):
+    """An ``Encoder`` that keeps pieces instead of words: words with other signs around them share theirs.
+
+    ``encode_pieces`` gives the raw ids of an array of distinct pieces (UTF-8) as an array. Known pieces are held in Arrow arrays, which Arrow looks up all
+    together; after a chunk that makes them more than ``most_bytes`` those met last stay, half as much. This saves work and changes no result.
+    """
+
+    #: What a known piece takes besides its bytes and ids.
+    ENTRY = 24
+
+    def __init__(self, split: Splitter, encode_pieces, encode_text, most_bytes: int, chunks: int = 1) -> None:
+        super().__init__(None, encode_text, most_bytes, chunks)
+        self.split, self.encode_pieces, self.turn = split, encode_pieces, 0
+        # The line end behind each word comes first and always stays.
+        self.known, self.known_ids = pa.array([b"\n"], pa.large_binary()), pa.array([b""], pa.large_binary())
+        self.met = np.array([np.iinfo(np.int64).max])
+
+    def _distinct(self, words: pa.Array) -> pa.Array:
+        cut, order = self._cut(words)
+        coded = cut.dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=self.known)
+        new = place.is_null().to_numpy(zero_copy_only=False)
+        unseen = coded.dictionary.filter(pa.array(new))
+        at = place.fill_null(0).to_numpy().astype(np.int64)
+        self.met[at[at > 0]] = self.turn
+        at[new] = np.arange(len(self.known), len(self.known) + len(unseen))
+        made = self.encode_pieces(unseen)
+        places = at[coded.indices.to_numpy()]
+        ids = pa.concat_arrays([self.known_ids, made]).take(pa.array(places))
+        _, ends, raw = ids.buffers()
+        # A line end has no ids, so a word's ids end with its line.
+        ends = np.append(0, np.frombuffer(ends, np.int64, len(ids) + 1)[1:][places == 0]) if len(ids) else np.zeros(1, np.int64)
+        out = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends), raw or pa.py_buffer(b"")])
+        self._keep(unseen, made)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return out.take(pa.array(back))
+
+    def _cut(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of words with a line end behind each, and the order in which the words come."""
+        lines = pc.binary_join_element_wise(words, *pa.array(["", "\n"], pa.large_string()))
+        # 1: ASCII; 0: Latin-1; -1: others.
+        latin = pc.string_is_ascii(words).to_numpy(zero_copy_only=False).astype(np.int8)
+        other = np.flatnonzero(latin == 0)
+        some = lines.take(pa.array(other))
+        if len(other):
+            _, ends, raw = some.buffers()
+            # Latin-1 in UTF-8 has no byte above 0xC3.
+            high = np.append(0, np.cumsum(np.frombuffer(raw, np.uint8) >= 0xC4))[np.frombuffer(ends, np.int64, len(other) + 1)]
+            latin[other[np.diff(high) > 0]] = -1
+        groups = [np.flatnonzero(latin == kind) for kind in (1, 0, -1)]
+        cut = [self.split.cut(joined(lines.take(pa.array(own))), kind >= 0) for own, kind in zip(groups, (1, 0, -1), strict=True)]
+        return pa.concat_arrays(cut), np.concatenate(groups)
+
+    def _keep(self, unseen: pa.Array, made: pa.Array) -> None:
+        short = pc.less_equal(pc.binary_length(unseen), self.LONGEST)
+        self.known = pa.concat_arrays([self.known, unseen.filter(short)])
+        self.known_ids = pa.concat_arrays([self.known_ids, made.filter(short)])
+        self.met = np.append(self.met, np.full(len(self.known) - len(self.met), self.turn))
+        self.turn += 1
+        sizes = (pc.add(pc.binary_length(self.known), pc.binary_length(self.known_ids))).to_numpy() + self.ENTRY
+        if sizes.sum() > self.most_bytes:
+            newest = np.argsort(-self.met, kind="stable")
+            stay = pa.array(np.sort(newest[: max(1, np.searchsorted(np.cumsum(sizes[newest]), self.most_bytes // 2))]))
+            self.known, self.known_ids, self.met = self.known.take(stay), self.known_ids.take(stay), self.met[stay.to_numpy()]
+
+
 def by_pieces(split: Splitter, encode_pieces, dtype: str):
     """(encode_words, encode_text) for ``Encoder`` from a function that gives the raw ids of distinct pieces (Latin-1 bytes, or str).
 

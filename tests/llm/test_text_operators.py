@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -346,6 +347,49 @@ def test_lexicon_cuts_words_together(tokenizer, monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in ids] == want
 
 
+class Counted:
+    """Stands for the library's class and notes which pieces a bare model is given."""
+
+    given: list[str] = []
+    from_str = staticmethod(Tokenizer.from_str)
+
+    def __init__(self, model):
+        self.__dict__["own"] = Tokenizer(model)
+
+    def __setattr__(self, name, value):
+        setattr(self.own, name, value)
+
+    def encode_batch_fast(self, texts, **more):
+        self.given.extend(p for t in texts for p in t.split(" "))
+        return self.own.encode_batch_fast(texts, **more)
+
+
+def test_token_store_gives_each_piece_to_the_library_once(tokenizer, monkeypatch):
+    source = open(queries.tokenizer_path(), encoding="utf-8").read()
+    rounds = [[f"{a}Haat{i}{b} čaš{chr(0x4E00 + i)}{b}\t\té{i}{a} w\xe9{b}" for i in range(300)] for a, b in [("", ""), ("(", ","), ("", "."), ("[", "'s")]]
+    want = [[x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)] for texts in rounds]
+    monkeypatch.setattr("tokenizers.Tokenizer", Counted)
+    monkeypatch.setattr(Counted, "given", [])
+    encode = token_store.library_encoder(source, 2)
+    for texts, ids in zip(rounds, want, strict=True):
+        assert [np.frombuffer(x, "<u2").tolist() for x in encode([t.encode() for t in texts])] == ids
+    assert len(Counted.given) == len(set(Counted.given)) > 300
+    # A cache that holds little gives the same ids and stays small.
+    monkeypatch.setattr(token_store, "WORD_BYTES", 2000)
+    monkeypatch.setattr(word_bpe.Encoder, "CHUNK", 100)
+    encode = token_store.library_encoder(source, 2)
+    for texts, ids in zip(rounds, want, strict=True):
+        assert [np.frombuffer(x, "<u2").tolist() for x in encode([t.encode() for t in texts])] == ids
+        assert sum(map(len, encode.known.to_pylist())) < 2000
+
+
+def test_token_store_encodes_batches_together():
+    batches = [pa.RecordBatch.from_pydict({"key": [i, None], "text": ["x" * 40, None]}) for i in range(7)]
+    tables = list(token_store.together(iter(batches), 3 * batches[0].nbytes))
+    assert [t.num_rows for t in tables] == [6, 6, 2] and pa.concat_tables(tables) == pa.Table.from_batches(batches)
+    assert list(token_store.together(iter([]), 1)) == []
+
+
 def test_token_shards(docs, tokenizer):
     files = token_store.write_shards(docs, queries.tokenizer_path(), shard_ids=2000)
     got = sorted(((r.start, r.key, r.n_tokens, r.ids_crc32) for r in token_store.read_documents(files).collect()))
