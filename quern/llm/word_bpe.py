@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import cache
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
@@ -71,6 +72,20 @@ _WIDE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p
 _LATIN_LINES, _WIDE_LINES = re.compile(_LATIN.pattern + rb"|\n"), regex.compile(_WIDE.pattern + r"|\n")
 
 
+@cache
+def unsettled() -> np.ndarray:
+    """Of every code point whether Unicode tables of different ages may compose, order, lower or cut it in different ways: it is newer than
+    Python's tables, or a mark or a composed letter newer than Unicode 3.2."""
+
+    def told(letter: str) -> bool:
+        kind = unicodedata.category(letter)
+        if kind[0] != "M" and kind != "Cn" and not unicodedata.decomposition(letter):
+            return False
+        return kind == "Cn" or unicodedata.ucd_3_2_0.category(letter) == "Cn"
+
+    return np.fromiter(map(told, map(chr, range(0x110000))), bool, 0x110000)
+
+
 def joined(strings: pa.Array) -> bytes:
     """The bytes of an array of large strings or binaries without nulls, one after another."""
     _, ends, raw = strings.buffers()
@@ -318,6 +333,7 @@ class Encoder:
 class PieceEncoder(Encoder):
     """An ``Encoder`` that keeps pieces instead of words: words with other signs around them share theirs.
 
+    A word with a letter that is ``unsettled`` goes to ``encode_text`` as a whole.
     ``encode_pieces`` gives the raw ids of an array of distinct pieces (UTF-8) as an array. Known pieces are held in Arrow arrays, which Arrow looks up all
     together; after a chunk that makes them more than ``most_bytes`` those met last stay, half as much. This saves work and changes no result.
     """
@@ -333,6 +349,24 @@ class PieceEncoder(Encoder):
         self.met = np.array([np.iinfo(np.int64).max])
 
     def _distinct(self, words: pa.Array) -> pa.Array:
+        strange = self._strange(words)
+        if not strange.any():
+            return self._by_pieces(words)
+        mask = pa.array(strange)
+        ids = pa.array([self.encode_text(w) for w in words.filter(mask).view(pa.large_binary()).to_pylist()], pa.large_binary())
+        return pc.replace_with_mask(self._by_pieces(pc.if_else(mask, pa.scalar("", pa.large_string()), words)), mask, ids)
+
+    @staticmethod
+    def _strange(words: pa.Array) -> np.ndarray:
+        """Which words have a letter of which the tables in use may say different things."""
+        out = ~pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+        if out.any():
+            other = words.filter(pa.array(out))
+            found = unsettled()[np.frombuffer(joined(other).decode().encode("utf-32-le"), "<u4")]
+            out[out] = np.diff(np.append(0, np.cumsum(found))[np.append(0, np.cumsum(pc.utf8_length(other).to_numpy()))]) > 0
+        return out
+
+    def _by_pieces(self, words: pa.Array) -> pa.Array:
         cut, order = self._cut(words)
         coded = cut.dictionary_encode()
         place = pc.index_in(coded.dictionary, value_set=self.known)

@@ -383,6 +383,15 @@ def test_token_store_gives_each_piece_to_the_library_once(tokenizer, monkeypatch
         assert sum(map(len, encode.known.to_pylist())) < 2000
 
 
+def test_token_store_leaves_new_letters_to_the_library(tokenizer):
+    """Letters and marks by themselves and behind another mark; the tables of Python, of its regex module and of the library lack different new ones."""
+    points = [c for c in [*range(0x80, 0x20000), *range(0x2B730, 0x2CEB0), *range(0x32300, 0x33500), *range(0x3CF00, 0x3FD00, 7)] if not 0xD800 <= c < 0xE000]
+    texts = [f"A{chr(c)}b,{chr(c)}. \u0301{chr(c)}\xc9'S plain words" for c in points]
+    want = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = token_store.library_encoder(open(queries.tokenizer_path(), encoding="utf-8").read(), 2)([t.encode() for t in texts])
+    assert not [hex(c) for c, x, ids in zip(points, got, want, strict=True) if np.frombuffer(x, "<u2").tolist() != ids]
+
+
 def test_token_store_encodes_batches_together():
     batches = [pa.RecordBatch.from_pydict({"key": [i, None], "text": ["x" * 40, None]}) for i in range(7)]
     tables = list(token_store.together(iter(batches), 3 * batches[0].nbytes))
