@@ -118,7 +118,7 @@ class Shard:
 #: Bytes of known pieces in a worker.
 WORD_BYTES = 24 << 20
 #: Chunks of ``word_bpe.Encoder`` whose words are looked up together.
-CHUNKS = 4
+CHUNKS = 2
 #: Pieces that the library encodes as one text, and texts of one call: a long text costs it more a piece.
 PART, CALL = 50, 50
 
