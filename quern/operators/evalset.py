@@ -7,8 +7,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quern.functions import text as T
 
@@ -75,12 +77,21 @@ def first_author(author: Column) -> Column:
     return F.regexp_replace(T.strip(F.coalesce(author, F.lit(""))), r"(?U)[,\s]+$", "")
 
 
+def _group_keys(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The equality keys of titles and authors, joined; null if one is blank."""
+    for batch in batches:
+        for piece in T.pieces(*batch):
+            keys = [(T._key(t or ""), T._key(a or "")) for t, a in piece]
+            yield pa.array(["|".join(k) if all(k) else None for k in keys], pa.string())
+
+
 def same_title_groups(records: DataFrame, title: str = "title", author: str = "author") -> DataFrame:
     """(grp, doc_id, ...) of records that share title and author by their equality keys; groups of one and blank keys are left out.
 
     Sizes are counted by key with partial sums and joined back, so a frequent key is not gathered in one task."""
-    keyed = records.withColumn("_t", T.equality_key(F.col(title))).withColumn("_a", T.equality_key(first_author(F.col(author))))
-    keyed = keyed.where("_t <> '' AND _a <> ''").withColumn("grp", F.concat_ws("|", "_t", "_a")).drop("_t", "_a")
+    # Not deterministic to Spark only: else a filter on the keys makes them once more, in workers of its own.
+    key = F.arrow_udf(_group_keys, StringType()).asNondeterministic()
+    keyed = records.withColumn("grp", key(F.col(title), first_author(F.col(author)))).where("grp IS NOT NULL")
     sizes = keyed.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
     return keyed.join(sizes, "grp")
 
