@@ -6,11 +6,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from quern.functions import text as T
 
@@ -176,20 +175,21 @@ def plan_order(rows: DataFrame, first: DataFrame, seed: str = "0") -> DataFrame:
 
 
 def _holding(shared):
-    """A pandas UDF: the terms of a broadcast block that a text holds."""
-
-    def held(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            out = []
-            for text in series:
-                plain = T._typed(text or "")
-                tokens = set(WORDS.findall(plain))
-                keys = tokens & shared.value.keys()
-                # A term that is one token is in the text if the token is.
-                out.append([term for k in keys for term, typed, words in shared.value[k] if typed == k or (words <= tokens and typed in plain)])
-            yield pd.Series(out)
-
-    return F.pandas_udf(held, "array<string>")
+    """An Arrow UDF: the terms of a broadcast block that a text holds."""
+
+    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for piece in T.pieces(batch):
+                out = []
+                for (text,) in piece:
+                    plain = T._typed(text or "")
+                    tokens = set(WORDS.findall(plain))
+                    keys = tokens & shared.value.keys()
+                    # A term that is one token is in the text if the token is.
+                    out.append([term for k in keys for term, typed, words in shared.value[k] if typed == k or (words <= tokens and typed in plain)])
+                yield pa.array(out, pa.list_(pa.string()))
+
+    return F.arrow_udf(held, ArrayType(StringType()))
 
 
 def term_holders(terms: DataFrame, docs: DataFrame) -> DataFrame:

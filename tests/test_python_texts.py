@@ -42,3 +42,10 @@ def test_group_keys_are_made_once_a_row(spark):
     rows = spark.createDataFrame([(i, f"T {i % 3}", "A") for i in range(9)], "doc_id int, title string, author string")
     plan = E.same_title_groups(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("EvalPython") == 2 and E.same_title_groups(rows).count() == 9
+
+
+def test_terms_in_pieces():
+    titles = ["Straße", "STRASSE!", " ", None] * 200
+    shared = type("Shared", (), {"value": {"strasse": [("Straße", "strasse", frozenset(["strasse"]))]}})
+    out = list(E._holding(shared).func(iter([pa.array(titles)])))
+    assert max(map(len, out)) == T.PIECE and [t for a in out for t in a.to_pylist()] == [["Straße"], ["Straße"], [], []] * 200
